@@ -1,11 +1,17 @@
 """Queries of this subpackage and, where SQL can express them, their oracles."""
 
+from netsift.llm.ann import OP4_SQL, op4_ann
+from netsift.llm.exact_topk import OP3_SQL, op3_exact_topk
 from netsift.llm.mixing import OP8_SQL, op8_mixing
 
 QUERIES = {
+    "op3_exact_topk": op3_exact_topk,
+    "op4_ann": op4_ann,
     "op8_mixing": op8_mixing,
 }
 
 SQL = {
+    "op3_exact_topk": OP3_SQL,
+    "op4_ann": OP4_SQL,
     "op8_mixing": OP8_SQL,
 }
