@@ -4,11 +4,13 @@ from netsift.llm.ann import OP4_SQL, op4_ann
 from netsift.llm.codec import op6_bpe_codec
 from netsift.llm.exact_topk import OP3_SQL, op3_exact_topk
 from netsift.llm.mixing import OP8_SQL, op8_mixing
+from netsift.llm.quality import op5_quality
 from netsift.llm.token_counts import op7_token_counts
 
 QUERIES = {
     "op3_exact_topk": op3_exact_topk,
     "op4_ann": op4_ann,
+    "op5_quality": op5_quality,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
