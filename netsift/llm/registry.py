@@ -6,6 +6,7 @@ from netsift.llm.exact_topk import OP3_SQL, op3_exact_topk
 from netsift.llm.mixing import OP8_SQL, op8_mixing
 from netsift.llm.quality import op5_quality
 from netsift.llm.token_counts import op7_token_counts
+from netsift.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op3_exact_topk": op3_exact_topk,
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_bpe_codec": op6_bpe_codec,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
 }
 
 SQL = {
