@@ -5,11 +5,13 @@ from netsift.llm.codec import op6_bpe_codec
 from netsift.llm.exact_topk import OP3_SQL, op3_exact_topk
 from netsift.llm.main_text import op2_main_text
 from netsift.llm.mixing import OP8_SQL, op8_mixing
+from netsift.llm.pii import op1_pii
 from netsift.llm.quality import op5_quality
 from netsift.llm.token_counts import op7_token_counts
 from netsift.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_main_text": op2_main_text,
     "op3_exact_topk": op3_exact_topk,
     "op4_ann": op4_ann,
