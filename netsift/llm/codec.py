@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsift.llm.bpe import default_path, load
@@ -37,11 +37,11 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode_decode's rows."""
+def digests() -> dict[str, Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 over encode_decode's columns."""
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return {"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(listed.cast("binary"), 256), "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256)}
 
 
 def op6_bpe_codec(spark, sf_dir: str) -> DataFrame:
-    return digests(encode_decode(table(spark, sf_dir, "documents")))
+    return encode_decode(table(spark, sf_dir, "documents")).withColumns(digests()).drop("ids", "decoded")

@@ -10,7 +10,7 @@ budget keeps what a smaller one took.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.llm.common import WORD
@@ -22,10 +22,6 @@ HASH_BITS, LEVEL_BITS = 60, 12
 BROADCAST_SOURCES = 100_000
 
 
-def _beside(df: DataFrame, small: DataFrame, on, rows: int) -> DataFrame:
-    return df.join(F.broadcast(small) if rows <= BROADCAST_SOURCES else small, on)
-
-
 def _numbered(totals: DataFrame) -> DataFrame:
     """totals with sid: the position of source by code point, null last.  Sorted by range, numbered by partition offsets."""
     ordered = totals.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id())
@@ -56,6 +52,53 @@ def _targets(totals: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame
     return totals.withColumn("target", F.when(share > F.col("most"), F.col("most").cast("double")).otherwise(share))
 
 
+def _hash(id_col: str) -> Column:
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+class Plan:
+    """What a mix decides: per source its size, target, whole copies and hash threshold."""
+
+    def __init__(self, rows: DataFrame, weights: tuple[int, ...], cap: int):
+        """rows: (source, size, h), read several times."""
+        totals = _targets(_numbered(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), weights, cap)
+        whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+        totals = totals.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+        totals = cut(totals.select(F.col("source").alias("__source"), "sid", "source_size", "target", "whole", "rest"))
+        self.sources = totals.count()
+        narrow = self._beside(rows, totals.select("__source", "sid"), F.col("source").eqNullSafe(F.col("__source"))).select("sid", "size", "h")
+
+        at = totals.where("source_size > 0 and rest > 0").select("sid", "rest", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("below"))
+        shift = HASH_BITS
+        while shift:
+            shift -= LEVEL_BITS
+            inside = self._beside(narrow, at.withColumnRenamed("sid", "__sid"), (F.col("sid") == F.col("__sid")) & (F.shiftright("h", shift + LEVEL_BITS) == F.col("bucket")))
+            hist = inside.groupBy("sid", "rest", "below", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("own"), (F.min("h") == F.max("h")).alias("single"))
+            running = F.sum("own").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+            hist = hist.withColumn("upto", F.col("below") + running).where("upto > rest")
+            at = cut(hist.groupBy("sid", "rest").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("own")).alias("below"), "own", "single"), "bucket").alias("b")).select("sid", "rest", "b.*"))
+            if at.agg(F.bool_and("single").alias("s")).head()["s"] is not False:
+                break
+        nearer = (F.col("below") + F.col("own") - F.col("rest")) < (F.col("rest") - F.col("below"))
+        ends = at.select(F.col("sid").alias("__at"), (F.col("bucket") + F.when(nearer, 1).otherwise(0)).alias("__end"))
+        self.facts = totals.join(ends, F.col("sid") == F.col("__at"), "left").select("__source", F.col("source_size").alias("__size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), "__end")
+        self.shift = shift
+
+    def _beside(self, df: DataFrame, small: DataFrame, on) -> DataFrame:
+        return df.join(F.broadcast(small) if self.sources <= BROADCAST_SOURCES else small, on)
+
+    def apply(self, df: DataFrame, source_col: str, hashed: Column) -> DataFrame:
+        """df with __size, __target and __copies of each row: a join with the sources and a filter's comparison, no sort."""
+        copies = F.col("__whole") + F.when(F.shiftright(hashed, self.shift) < F.col("__end"), 1).otherwise(0)
+        return self._beside(df, self.facts, df[source_col].eqNullSafe(F.col("__source"))).withColumn("__copies", copies.cast("long")).drop("__source", "__whole", "__end")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), _hash(id_col).alias("h")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every row of docs.
 
@@ -67,34 +110,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_
     copies * size.  A source without words has target 0 and copies 0.  Rows that
     repeat an id are taken alike.  Empty input: no rows.
     """
-    text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    digest = F.conv(F.substring(F.md5(text_id.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("h"))
-    rows = cut(rows)
-    totals = _targets(_numbered(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), weights, cap)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    totals = totals.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    totals = cut(totals.select(F.col("source").alias("__source"), "sid", "source_size", "target", "whole", "rest"))
-    n = totals.count()
-    rows = _beside(rows, totals.select("__source", "sid"), F.col("source").eqNullSafe(F.col("__source")), n).select("sid", "doc_id", "source", "size", "h")
-
-    at = totals.where("source_size > 0 and rest > 0").select("sid", "rest", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("below"))
-    shift = HASH_BITS
-    while shift:
-        shift -= LEVEL_BITS
-        inside = _beside(rows, at.withColumnRenamed("sid", "__sid"), (F.col("sid") == F.col("__sid")) & (F.shiftright("h", shift + LEVEL_BITS) == F.col("bucket")), n)
-        hist = inside.groupBy("sid", "rest", "below", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("own"), (F.min("h") == F.max("h")).alias("single"))
-        running = F.sum("own").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-        hist = hist.withColumn("upto", F.col("below") + running).where("upto > rest")
-        at = cut(hist.groupBy("sid", "rest").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("own")).alias("below"), "own", "single"), "bucket").alias("b")).select("sid", "rest", "b.*"))
-        if at.agg(F.bool_and("single").alias("s")).head()["s"] is not False:
-            break
-    nearer = (F.col("below") + F.col("own") - F.col("rest")) < (F.col("rest") - F.col("below"))
-    ends = at.select(F.col("sid").alias("__at"), (F.col("bucket") + F.when(nearer, 1).otherwise(0)).alias("end"))
-    facts = totals.join(ends, F.col("sid") == F.col("__at"), "left").select(F.col("sid").alias("__sid"), "source_size", "target", "whole", "end")
-    out = _beside(rows, facts, F.col("sid") == F.col("__sid"), n)
-    copies = F.col("whole") + F.when(F.shiftright("h", shift) < F.col("end"), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    rows = _sized(docs, id_col, text_col, source_col)
+    out = Plan(rows, weights, cap).apply(rows, "source", F.col("h"))
+    return out.select("doc_id", "source", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs' rows as often as mix() takes them; texts are not shuffled."""
+    plan = Plan(_sized(docs, id_col, text_col, source_col), weights, cap)
+    taken = plan.apply(docs, source_col, _hash(id_col)).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
