@@ -50,13 +50,15 @@ class Automaton:
         n = len(tokens)
         born = [0] * n  # the time of the gadget that made a token; 0: a byte
         left, right = [-1] * n, [-1] * n
-        cut: dict[int, int] = {}  # a * 2^20 + b -> time from which state(a) lacks b
+        cut: dict[int, int] = {}  # a << 20 | b -> time from which state(a) lacks b
+        self.born, self.left, self.right, self.cut = born, left, right, cut
         for time, (a, b, ab) in enumerate(merges, 1):
-            if left[ab] >= 0 or born[a] >= time or born[b] >= time or a * (1 << 20) + b in cut:
-                continue  # such a merge never applies
+            if not all(len(tokens[x]) == 1 or left[x] >= 0 for x in (a, b)) or not self._arc(a, b):
+                continue  # no state has this pair of arcs: an earlier merge always takes one of them
+            if left[ab] >= 0:
+                raise ValueError(f"token {ab} has two merges")
             born[ab], left[ab], right[ab] = time, a, b
-            cut[a * (1 << 20) + b] = time
-        self.born, self.left, self.right, self.cut = born, left, right, cut
+            cut[a << 20 | b] = time
         self.made = [i for i in range(n) if tokens[i] and (len(tokens[i]) == 1 or left[i] >= 0)]
         self._spelling()
         self.arcs: dict[int, bool] = {}

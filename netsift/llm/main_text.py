@@ -162,6 +162,7 @@ LABELLED = [
     (0, 0, 0, 1, 4, 0.0, 40, 0.0, 30, 0.0, 1), (0, 0, 0, 1, 8, 0.0, 5, 1.0, 60, 0.0, 1), (0, 0, 0, 0, 90, 0.2, 10, 1.0, 5, 1.0, 1), (0, 0, 0, 0, 12, 0.0, 0, 0.0, 0, 0.0, 1),
     (0, 0, 0, 0, 9, 0.0, 12, 0.0, 11, 0.0, 1), (0, 0, 0, 0, 11, 0.0, 9, 0.0, 0, 0.0, 1), (0, 0, 0, 0, 25, 0.0, 0, 0.0, 0, 0.0, 1),
     (0, 0, 0, 0, 14, 0.0, 0, 0.0, 4, 1.0, 1), (0, 0, 0, 0, 35, 0.0, 20, 0.0, 4, 1.0, 1), (0, 0, 0, 0, 18, 0.0, 30, 0.0, 3, 1.0, 1), (0, 0, 0, 0, 50, 0.0, 1, 1.0, 2, 1.0, 1),
+    (0, 0, 0, 0, 3, 1.0, 0, 0.0, 40, 0.0, 0), (0, 0, 0, 0, 4, 1.0, 60, 0.0, 45, 0.0, 0), (0, 0, 0, 0, 2, 1.0, 40, 0.0, 0, 0.0, 0), (0, 0, 0, 0, 5, 0.8, 0, 0.0, 70, 0.0, 0),
     (0, 0, 0, 0, 4, 1.0, 5, 1.0, 3, 1.0, 0), (0, 0, 0, 0, 9, 1.0, 30, 0.0, 10, 1.0, 0), (0, 0, 0, 0, 3, 0.0, 2, 1.0, 3, 1.0, 0), (0, 0, 0, 0, 5, 0.0, 4, 1.0, 2, 1.0, 0),
     (0, 0, 0, 0, 30, 0.8, 10, 1.0, 12, 1.0, 0), (0, 0, 0, 0, 2, 0.5, 60, 0.0, 0, 0.0, 0), (0, 0, 0, 0, 6, 0.9, 50, 0.0, 40, 0.0, 0), (0, 0, 0, 1, 3, 1.0, 4, 1.0, 6, 1.0, 0),
     (0, 0, 0, 1, 3, 0.0, 30, 0.0, 4, 1.0, 0), (0, 0, 0, 0, 15, 0.7, 3, 1.0, 4, 1.0, 0), (0, 0, 0, 0, 4, 0.0, 9, 1.0, 0, 0.0, 0),
