@@ -32,7 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 FOREVER = 1 << 60
 #: Words whose encodings a worker keeps, and pairs whose transitions it keeps.
-WORDS_KEPT, ARCS_KEPT = 300_000, 1_000_000
+WORDS_KEPT, ARCS_KEPT = 200_000, 400_000
 
 
 def _stand_ins() -> dict[str, int]:
@@ -151,6 +151,11 @@ class Automaton:
             last[end], count[end] = t, count[begin] + 1
         return last, count
 
+    def forget(self) -> None:
+        """Empties what was kept of words seen; the compiled tables and transitions stay."""
+        self.words.clear()
+        self.sizes.clear()
+
     def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-split word; kept for the next time."""
         found = self.words.get(word)

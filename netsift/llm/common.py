@@ -13,6 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of a batch that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 * 1024 * 1024
+
+
+def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) for an Arrow operator.  From here on the session's Arrow batches are small enough for long texts."""
+    conf = docs.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(conf.get(key).rstrip("bB"))
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import table
+from netsift.llm.common import table, texts_of
 from netsift.llm.shingles import _mix, shingle_sets, text_buffers
 from netsift.operators.components import connected_components
 from netsift.plans.lineage import cut
@@ -44,7 +44,7 @@ BLOCK_SETS, BLOCK_GRAMS = 256, 1 << 20
 #: Rows of two or three numbers up to which a table is broadcast; beyond, plain joins.
 BROADCAST_ROWS = 2_000_000
 #: Documents that are shingled at once.
-BATCH = 1024
+BATCH = 256
 
 
 def _maybe_broadcast(small: DataFrame, rows: int) -> DataFrame:
@@ -67,11 +67,10 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
     """How many documents have an n-gram in each slot, at most 255: SLOTS bytes, whatever the corpus."""
 
     def count(batches):
-        total = np.zeros(SLOTS, np.uint32)
+        low = np.zeros(SLOTS, np.uint8)
         for _, hashes, _ in _sets(batches, 0, n):
             slot, times = np.unique(_slots(hashes), return_counts=True)
-            total[slot] += times.astype(np.uint32)
-        low = np.minimum(total, 255).astype(np.uint8)
+            low[slot] = np.minimum(low[slot] + times, 255)
         for lo in range(0, SLOTS, CHUNK):
             if low[lo : lo + CHUNK].any():
                 yield pa.RecordBatch.from_arrays([pa.array([lo // CHUNK], pa.int32()), pa.array([zlib.compress(low[lo : lo + CHUNK].tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
@@ -284,7 +283,7 @@ def jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
     of their own; a null id is never the smallest unless all are.
     Sets and n-grams are told apart by 64-bit hashes.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = texts_of(docs, id_col, text_col)
     counts = docs.sparkSession.sparkContext.broadcast(gram_counts(docs, n))
     rows = cut(_described(docs, n, num, den, counts))
     filled = rows.where("node is not null")
