@@ -15,7 +15,7 @@ NUMBER = r"(\d+(?:\.\d+)?)"
 VOLTAGE = rf"(?i)^\s*{NUMBER}\s*K\s*V\s*$"
 CURRENT = rf"(?i)^\s*{NUMBER}\s*A\s*$"
 POWER = rf"(?i)^\s*{NUMBER}\s*([KM])\s*VA\s*$"
-LABEL = r"^([A-Z]+)-?([A-Z0-9]+(?:-?[A-Z0-9]+)*)$"
+LABEL = r"^([A-Z]+)-?([A-Z0-9]++(?:-[A-Z0-9]++)*+)$"
 
 
 def stripped(text: Column) -> Column:
