@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsift.llm.bpe import default_path, load
-from netsift.llm.common import table, texts_of
+from netsift.llm.common import release, table, texts_of
 
 #: Documents of one returned batch.
 BATCH = 256
@@ -33,6 +33,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
                 ids = [codec.encode(t) if t else [] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
         codec.automaton.forget()
+        release()
 
     rows = texts_of(docs, id_col, text_col)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import table, texts_of
+from netsift.llm.common import release, table, texts_of
 from netsift.llm.shingles import _mix, shingle_sets, text_buffers
 from netsift.operators.components import connected_components
 from netsift.plans.lineage import cut
@@ -74,6 +74,8 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
         for lo in range(0, SLOTS, CHUNK):
             if low[lo : lo + CHUNK].any():
                 yield pa.RecordBatch.from_arrays([pa.array([lo // CHUNK], pa.int32()), pa.array([zlib.compress(low[lo : lo + CHUNK].tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
+        del low
+        release()
 
     def merge(batches):
         totals: dict[int, np.ndarray] = {}

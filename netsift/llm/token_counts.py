@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsift.llm.bpe import ByteBPE, default_path, load
-from netsift.llm.common import table, texts_of
+from netsift.llm.common import release, table, texts_of
 
 BATCH = 1024
 
@@ -100,6 +100,7 @@ def count_tokens(docs: DataFrame, budget: int = 512, path: str | None = None, id
                 size = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), size, total, pc.greater(total, budget), pa.array([x for _, x in found], pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
         codec.automaton.forget()
+        release()
 
     rows = texts_of(docs, id_col, text_col)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
