@@ -27,6 +27,8 @@ from functools import lru_cache
 
 import regex
 
+from netsift.llm.common import reside
+
 #: The pre-tokenizer's pattern and its printable stand-ins for bytes, as the vocabulary file's format has them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
@@ -230,11 +232,16 @@ class ByteBPE:
 
 
 @lru_cache(maxsize=4)
-def load(path: str) -> ByteBPE:
-    """One automaton a process and file."""
+def _loaded(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+def load(path: str) -> ByteBPE:
+    """One automaton a process and file, until another operator works there."""
+    reside("bpe", _loaded.cache_clear)
+    return _loaded(path)
+
+
 def default_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,20 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Operator whose tables this process holds -> what drops them.
+_RESIDENT: dict[str, Callable[[], None]] = {}
+
+
+def reside(owner: str, drop: Callable[[], None] = lambda: None) -> None:
+    """Before an operator loads its tables in a process: those of others go, as processes outlive stages."""
+    others = [k for k in _RESIDENT if k != owner]
+    for k in others:
+        _RESIDENT.pop(k)()
+    _RESIDENT[owner] = drop
+    if others:
+        release()
+
+
 def release() -> None:
     """Gives freed memory back: Python processes live on, and other operators' peaks would add up."""
     gc.collect()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import release, table, texts_of
+from netsift.llm.common import release, reside, table, texts_of
 from netsift.llm.shingles import _mix, shingle_sets, text_buffers
 from netsift.operators.components import connected_components
 from netsift.plans.lineage import cut
@@ -53,6 +53,7 @@ def _maybe_broadcast(small: DataFrame, rows: int) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch], column: int, n: int):
     """(batch part, hashes, bounds) of BATCH rows at a time."""
+    reside("ngrams")
     for batch in batches:
         for lo in range(0, batch.num_rows, BATCH):
             part = batch.slice(lo, BATCH)
