@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netsift.functions.evidence import equipment_type, or_default, review_status
 from netsift.functions.geometry import candidate_scores, distance, is_tee, line_intersection, point, project_on_segment, segment_gap
 from netsift.operators.components import connected_components
 from netsift.operators.spatial import near_points, reach, snap_points
@@ -178,13 +179,11 @@ def reconstruct(conductors: DataFrame, terminals: DataFrame, symbols: DataFrame,
 def graph_tables(symbols: DataFrame, labels: DataFrame, states: DataFrame, terminals: DataFrame, connections: DataFrame, keep_rejected: bool = True) -> dict[str, DataFrame]:
     """Graph tables of analysed runs.  labels: (analysis_run_id, symbol_id, value, text_type, score), the best one a symbol counts."""
     best = labels.where("symbol_id is not null and value <> ''").groupBy("analysis_run_id", "symbol_id").agg(F.min_by(F.struct("value", "text_type", "score"), F.struct(-F.col("score"), "value")).alias("l"))
-    kinds = ("energy_source", "grid_incomer", "generator", "power_transformer", "busbar", "circuit_breaker", "disconnector", "current_transformer", "potential_transformer", "feeder", "load", "bus_coupler", "offpage_connector", "junction", "generic_equipment")
-    kind = F.when(F.col("predicted_class").isin(*kinds), F.col("predicted_class")).when(F.col("predicted_class") == "feeder_terminal", "feeder").otherwise("generic_equipment")
+    kind = equipment_type(F.col("predicted_class"))
     rows = symbols if keep_rejected else symbols.where("review_status <> 'rejected'")
     rows = rows.join(best, (symbols["analysis_run_id"] == best["analysis_run_id"]) & (symbols["id"] == best["symbol_id"]), "left").drop(best["analysis_run_id"])
     rows = rows.join(states.select("analysis_run_id", F.col("equipment_id").alias("id"), "state"), ["analysis_run_id", "id"], "left")
     label = F.coalesce("l.value", "predicted_class")
-    status = lambda c: F.when(F.col(c).isin("accepted", "verified", "rejected"), F.col(c)).otherwise("pending")
     kind_of_text = F.coalesce("l.text_type", F.lit("unknown"))
     attributes = F.map_filter(
         F.create_map(
@@ -193,8 +192,8 @@ def graph_tables(symbols: DataFrame, labels: DataFrame, states: DataFrame, termi
         ), lambda k, v: v.isNotNull(),
     )
     order = F.row_number().over(Window.partitionBy("graph_id").orderBy("id"))
-    equipment = rows.select(F.col("analysis_run_id").alias("graph_id"), "id", label.alias("equipment_id"), kind.alias("type"), "page", "bbox", attributes.alias("attributes"), F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.45)).alias("confidence"), F.when(F.col("l").isNotNull(), F.array(F.lit("ocr"), F.lit("vision"))).otherwise(F.array(F.lit("vision"))).alias("provenance"), status("review_status").alias("review_status"))
-    lines = connections.where("review_status <> 'rejected'").select(F.col("analysis_run_id").alias("graph_id"), "id", F.col("from_node_id").alias("from_terminal_id"), F.col("to_node_id").alias("to_terminal_id"), "polyline", F.lit(None).cast("string").alias("switch_state"), "confidence", F.array(F.lit("wire_trace"), F.lit("terminal_snap")).alias("provenance"), status("review_status").alias("review_status"))
+    equipment = rows.select(F.col("analysis_run_id").alias("graph_id"), "id", label.alias("equipment_id"), kind.alias("type"), "page", "bbox", attributes.alias("attributes"), or_default(F.col("confidence"), 0.45).alias("confidence"), F.when(F.col("l").isNotNull(), F.array(F.lit("ocr"), F.lit("vision"))).otherwise(F.array(F.lit("vision"))).alias("provenance"), review_status(F.col("review_status")).alias("review_status"))
+    lines = connections.where("review_status <> 'rejected'").select(F.col("analysis_run_id").alias("graph_id"), "id", F.col("from_node_id").alias("from_terminal_id"), F.col("to_node_id").alias("to_terminal_id"), "polyline", F.lit(None).cast("string").alias("switch_state"), "confidence", F.array(F.lit("wire_trace"), F.lit("terminal_snap")).alias("provenance"), review_status(F.col("review_status")).alias("review_status"))
     points = terminals.select(F.col("analysis_run_id").alias("graph_id"), "id", F.col("symbol_id").alias("equipment_id"), "name", "x", "y")
     return {k: v.withColumn("ord", order) for k, v in (("equipment", equipment), ("terminals", points), ("connections", lines))}
 

@@ -237,6 +237,24 @@ SELECT split, 'style_' || substr(styles, k::INTEGER + 1, 1) AS style, unnest(ran
     "validate_feeder_multiple_unresolved_sources": f"""WITH {_NET2}, ranked AS (SELECT p, d, row_number() OVER (PARTITION BY p ORDER BY d, r) AS k, min(d) OVER (PARTITION BY p) AS best FROM steps)
 SELECT DISTINCT 'net2' AS graph_id, 'FEEDER_MULTIPLE_UNRESOLVED_SOURCES' AS code, 'warning' AS severity, 'equipment' AS target_type, p AS target_id FROM ranked WHERE k BETWEEN 2 AND 4 AND d <= best + 2""",
 }
+SQL["terminal_snap"] = f"""WITH {_BOXES}, k AS (SELECT *, ['energy_source','feeder_terminal','power_transformer','circuit_breaker','busbar'][id % 5 + 1] AS c, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 AS my,
+  greatest(0.018, least(0.07, (0.009 + 0.46 * sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) * (1 + greatest(0, 0.82 - CASE WHEN confidence = 0 THEN 0.5 ELSE confidence END) * 0.3))) AS radius FROM boxes),
+l AS (SELECT *, c = 'power_transformer' OR x2 - x1 >= 0.5 * (y2 - y1) AS flat FROM k),
+t AS (SELECT grp, id, radius, 'attach' AS name, CASE WHEN c = 'energy_source' THEN x2 ELSE x1 END AS x, my AS y FROM l WHERE c IN ('energy_source', 'feeder_terminal')
+  UNION ALL SELECT grp, id, radius, 'in', CASE WHEN flat THEN x1 ELSE mx END, CASE WHEN flat THEN my ELSE y1 END FROM l WHERE c NOT IN ('energy_source', 'feeder_terminal')
+  UNION ALL SELECT grp, id, radius, 'out', CASE WHEN flat THEN x2 ELSE mx END, CASE WHEN flat THEN my ELSE y2 END FROM l WHERE c NOT IN ('energy_source', 'feeder_terminal')),
+j AS (SELECT b.id AS k, 'terminal:' || lpad(t.id::VARCHAR, 6, '0') || ':' || name AS terminal_id, sqrt((b.e[6] - t.x) ** 2 + (b.e[7] - t.y) ** 2) AS gap, radius FROM boxes b JOIN t USING (grp)),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gap, terminal_id) AS n FROM j WHERE gap <= radius)
+SELECT 'c' || lpad(b.id::VARCHAR, 6, '0') AS key, terminal_id, round(gap, 9) AS gap FROM boxes b LEFT JOIN r ON r.k = b.id AND n = 1"""
+SQL["svg_parts"] = f"""WITH {_NET} SELECT 'net:' || n_regionkey AS graph_id, count(DISTINCT n_nationkey) + coalesce(any_value(c), 0) + coalesce(any_value(s), 0) AS lines, 1 + count(DISTINCT n_nationkey) + coalesce(any_value(c), 0) + coalesce(any_value(s), 0) AS labels, coalesce(any_value(o), 0) AS open_lines
+FROM nation n LEFT JOIN (SELECT graph_id, count(*) AS c, count(*) FILTER (is_open) AS o FROM ways GROUP BY 1) w ON w.graph_id = 'net:' || n_regionkey
+LEFT JOIN (SELECT n_regionkey AS k, count(*) AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) q ON q.k = n_regionkey GROUP BY n_regionkey"""
+SQL["truth_manifest"] = f"""WITH {_NET} SELECT 'net:' || n_regionkey AS graph_id, 1::INTEGER AS sources, coalesce(any_value(c), 0)::INTEGER AS feeders, count(DISTINCT n_nationkey)::INTEGER AS busbars,
+(count(DISTINCT n_nationkey) + coalesce(any_value(c), 0) + coalesce(any_value(s), 0))::INTEGER AS switch_states, coalesce(any_value(c), 0)::INTEGER AS paths
+FROM nation n LEFT JOIN (SELECT graph_id, count(*) AS c FROM ways GROUP BY 1) w ON w.graph_id = 'net:' || n_regionkey
+LEFT JOIN (SELECT n_regionkey AS k, count(*) AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) q ON q.k = n_regionkey GROUP BY n_regionkey"""
+SQL["symbol_scenes"] = f"""WITH plan AS ({SQL["corpus_plan"]}), c AS (SELECT unnest(['busbar', 'bus_coupler', 'circuit_breaker', 'current_transformer', 'disconnector', 'energy_source', 'feeder_terminal', 'load', 'potential_transformer', 'power_transformer']) AS class_name)
+SELECT split, class_name, count(*) AS n FROM plan, c GROUP BY ALL"""
 SQL["health"] = f"""WITH {_NET}, risks AS ({SQL["risk_ranking"]})
 SELECT graph_id, 1::BIGINT AS sources, count(*) AS feeders, count(*) FILTER (NOT is_open) AS resolved_paths, count(*) FILTER (is_open) AS unresolved_feeders, 0::BIGINT AS validation_errors,
   (SELECT count(*) FROM risks r WHERE r.graph_id = w.graph_id) AS review_items, (SELECT count(*) FROM risks r WHERE r.graph_id = w.graph_id AND priority = 'CRITICAL') AS critical_issues,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netsift.functions import geometry as geo
 from netsift.functions import text as txt
-from netsift.operators import graph, metrics, review, spatial, topology
+from netsift.operators import graph, metrics, raster, review, spatial, topology
 from netsift.plans import derived
 from netsift.plans.lineage import cut
 from netsift.sources import fixtures, readers, sinks
@@ -355,6 +355,77 @@ def canonical_risks(spark, sf_dir):
     return r.select("graph_id", "connection_id", "component_change", "bridge_importance", "risk_score", "priority", F.array_join("affected_feeders", "|").alias("affected"))
 
 
+def _page_symbols(spark, sf_dir):
+    """boxes as symbols of runs by label, with traces from segments."""
+    b = derived.boxes(spark, sf_dir)
+    kinds = F.array(*[F.lit(k) for k in ("energy_source", "feeder_terminal", "power_transformer", "circuit_breaker", "busbar")])
+    run = F.concat(F.lit("run:"), F.col("grp").cast("string")).alias("analysis_run_id")
+    name = F.format_string("%06d", "id").alias("id")
+    symbols = b.select(run, name, F.lit(1).alias("page"), F.get(kinds, (F.col("id") % 5).cast("int")).alias("predicted_class"), "confidence", "bbox")
+    lines = derived.segments(spark, sf_dir).select(run, F.lit(1).alias("page"), F.format_string("c%06d", "id").alias("id"), F.array("a", "b").alias("polyline"), F.lit(0.8).alias("confidence"))
+    return symbols, spatial.terminals_of(symbols), lines
+
+
+def terminal_snap(spark, sf_dir):
+    """The terminal that the first point of each trace snaps to."""
+    symbols, terminals, lines = _page_symbols(spark, sf_dir)
+    points = lines.select("analysis_run_id", "page", F.col("id").alias("key"), F.get("polyline", 0)["x"].alias("lx"), F.get("polyline", 0)["y"].alias("ly"))
+    return spatial.snap_points(points, terminals, symbols).select("key", "terminal_id", F.round("gap", 9).alias("gap"))
+
+
+def physical_connections(spark, sf_dir):
+    """Candidates from traces and terminals, the strongest of each terminal pair."""
+    symbols, terminals, lines = _page_symbols(spark, sf_dir)
+    _, ranked, _ = topology.reconstruct(lines, terminals, symbols)
+    return ranked.where("rank = 1").select("analysis_run_id", "id", "from_node_id", "to_node_id", "overall_confidence", "provenance", "review_status")
+
+
+def topology_issues(spark, sf_dir):
+    symbols, terminals, lines = _page_symbols(spark, sf_dir)
+    return topology.reconstruct(lines, terminals, symbols)[2].groupBy("analysis_run_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def crossing_kinds(spark, sf_dir):
+    """Junctions between traces, one at a place."""
+    _, _, lines = _page_symbols(spark, sf_dir)
+    none = lines.select("analysis_run_id", "page", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).limit(0)
+    return topology.crossings(lines, none).groupBy("analysis_run_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def detection_matches(spark, sf_dir):
+    """Greedy one-to-one matches of even boxes to odd ones of a label."""
+    b = derived.boxes(spark, sf_dir)
+    d = b.where("id % 2 = 0").select("grp", F.col("id").alias("detection_id"), "confidence", "bbox")
+    return spatial.match_detections(d, b.where("id % 2 = 1").select("grp", F.col("id").alias("truth_id"), "bbox"), ["grp"], 0.3)
+
+
+def svg_parts(spark, sf_dir):
+    """How many lines and nodes each graph's picture has."""
+    pictures = sinks.svg(**derived.net(spark, sf_dir))
+    count = lambda x: F.regexp_count("svg", F.lit(x)).cast("long")
+    return pictures.select("graph_id", count("<line ").alias("lines"), count("<text ").alias("labels"), count("#a54224").alias("open_lines"))
+
+
+def truth_manifest(spark, sf_dir):
+    t = _held(derived.net(spark, sf_dir))
+    m = sinks.truth_manifest(t["equipment"], t["connections"], _paths(t))
+    return m.select("graph_id", F.size("sources").alias("sources"), F.size("feeders").alias("feeders"), F.size("busbars").alias("busbars"), F.size("switch_states").alias("switch_states"), F.size("paths").alias("paths"))
+
+
+def symbol_scenes(spark, sf_dir):
+    s = fixtures.symbol_scenes(spark)
+    return s.groupBy("split", "class_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def raster_conductors(spark, sf_dir):
+    """Straight strokes of pages that are drawn from the signs of embeddings, a component a block of pixels."""
+    e = derived.read(spark, sf_dir, "embeddings")
+    bit = F.transform("embedding", lambda v: F.when(v > 0, "FF").otherwise("00"))
+    row = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.repeat(F.array_join(F.transform(F.slice(bit, y * 8 + 1, F.lit(8)), lambda h: F.repeat(h, 8)), ""), 8))
+    pages = e.select(F.concat(F.lit("run:"), F.col("label").cast("string")).alias("analysis_run_id"), F.col("vec_id").cast("int").alias("page"), F.lit(64).alias("width"), F.lit(64).alias("height"), F.unhex(F.array_join(row, "")).alias("pixels"))
+    return raster.page_conductors(pages).groupBy("analysis_run_id", "page").agg(F.count(F.lit(1)).alias("strokes"), F.round(F.max("confidence"), 4).alias("best"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -362,6 +433,7 @@ QUERIES = {
         risk_ranking, health, degree, strongest_edge, text_normalize, text_classify, text_summary, voltage_extract, label_dup_groups, character_errors, iou_pairs, nms_kept, nms_agnostic, merge_regions,
         nearest_point_topk, association_top1, segment_intersections, segment_geometry, dataset_lines, tile_cover, terminal_template, longest_run, latest_review_state, audit_history, recompute_changed, review_connections,
         precision_recall_f1, set_ops_pairs, multiset_overlap, pivot_confusion, reachability_accuracy, error_tags, export_json, export_csv_rows, corpus_plan, canonical_paths, canonical_risks,
+        terminal_snap, physical_connections, topology_issues, crossing_kinds, detection_matches, svg_parts, truth_manifest, symbol_scenes, raster_conductors,
     )
 }
 QUERIES |= {f"validate_{c.lower()}": _findings(c, derived.orders_graph, False) for c in STRUCTURAL}
