@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
+from itertools import chain
 
 import regex
 
@@ -34,7 +35,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 FOREVER = 1 << 60
 #: Words whose encodings a worker keeps, and pairs whose transitions it keeps.
-WORDS_KEPT, ARCS_KEPT = 200_000, 400_000
+WORDS_KEPT, ARCS_KEPT = 250_000, 500_000
 
 
 def _stand_ins() -> dict[str, int]:
@@ -153,11 +154,6 @@ class Automaton:
             last[end], count[end] = t, count[begin] + 1
         return last, count
 
-    def forget(self) -> None:
-        """Empties what was kept of words seen; the compiled tables and transitions stay."""
-        self.words.clear()
-        self.sizes.clear()
-
     def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-split word; kept for the next time."""
         found = self.words.get(word)
@@ -216,14 +212,17 @@ class ByteBPE:
         return self.cut.split(text) if self.cut and any(x in text for x in self.special) else (text,)
 
     def encode(self, text: str) -> list[int]:
-        known, one = self.automaton.words, self.automaton.encode_word
+        known, one = self.automaton.words.get, self.automaton.encode_word
         ids: list[int] = []
         for k, piece in enumerate(self.pieces(text)):
             if k % 2:
                 ids.append(self.special[piece])
             else:
-                for word in self.split.findall(piece):
-                    ids += known.get(word) or one(word)
+                words = self.split.findall(piece)
+                parts = list(map(known, words))
+                if None in parts:
+                    parts = [one(w) if p is None else p for w, p in zip(words, parts, strict=True)]
+                ids.extend(chain.from_iterable(parts))
         return ids
 
     def decode(self, ids: list[int]) -> str:

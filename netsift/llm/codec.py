@@ -32,7 +32,6 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
                 part = batch.slice(lo, BATCH)
                 ids = [codec.encode(t) if t else [] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
-        codec.automaton.forget()
         release()
 
     rows = texts_of(docs, id_col, text_col)

@@ -36,7 +36,7 @@ from netsift.operators.components import connected_components
 from netsift.plans.lineage import cut
 
 #: Counters of the global order, and slots of one emitted chunk.
-SLOTS, CHUNK = 1 << 24, 1 << 20
+SLOTS, CHUNK = 1 << 23, 1 << 20
 #: N-grams that linking sets share at their beginnings; longest list that gives pairs.
 SHARED, LIST = 4, 32
 #: Sets and n-grams of a block, about.
@@ -61,7 +61,7 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int, n: int):
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(40)).astype(np.int64)
+    return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
 def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
@@ -90,7 +90,7 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
     schema = "chunk int, counts binary"
     merged = docs.select("text").mapInArrow(count, schema).repartition(SLOTS // CHUNK, "chunk").mapInArrow(merge, schema)
     counts = np.zeros(SLOTS, np.uint8)
-    for row in merged.collect():  # at most SLOTS bytes
+    for row in merged.toLocalIterator():  # at most SLOTS bytes
         counts[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.uint8)
     return counts
 
@@ -288,6 +288,7 @@ def jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
     """
     docs = texts_of(docs, id_col, text_col)
     counts = docs.sparkSession.sparkContext.broadcast(gram_counts(docs, n))
+    release()
     rows = cut(_described(docs, n, num, den, counts))
     filled = rows.where("node is not null")
     classes = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"))

@@ -30,8 +30,7 @@ class PrefixCounts:
         self.codec, self.text = codec, text
         self.words: list[str] = []
         sizes: list[int] = []
-        count = codec.automaton.count_word
-        known = codec.automaton.sizes
+        count, known = codec.automaton.count_word, codec.automaton.sizes.get
         for k, piece in enumerate(codec.pieces(text)):
             if k % 2:
                 self.words.append(piece)
@@ -39,7 +38,8 @@ class PrefixCounts:
             else:
                 found = codec.split.findall(piece)
                 self.words += found
-                sizes += [known.get(w) or count(w) for w in found]
+                counts = list(map(known, found))
+                sizes += [count(w) if n is None else n for w, n in zip(found, counts, strict=True)] if None in counts else counts
         self.tokens = list(accumulate(sizes, initial=0))  # before each word, and of all
         self._starts: list[int] | None = None
 
@@ -99,7 +99,6 @@ def count_tokens(docs: DataFrame, budget: int = 512, path: str | None = None, id
                 total = pa.array([x for x, _ in found], pa.int64())
                 size = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), size, total, pc.greater(total, budget), pa.array([x for _, x in found], pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
-        codec.automaton.forget()
         release()
 
     rows = texts_of(docs, id_col, text_col)
