@@ -106,8 +106,7 @@ def orders_graph(spark: SparkSession, sf_dir: str) -> Graph:
     g = F.lit("orders")
     equipment = c.select(*_equipment(g, F.col("c_custkey"), name("C", "c_custkey"), F.concat(F.substring("c_mktsegment", 1, 4), F.col("c_nationkey")), kind, F.lit("11 kV")))
     other = F.when(F.col("o_orderkey") % 50 == 0, F.lit("nobody")).when(F.col("o_orderkey") % 77 == 0, name("C", "o_custkey")).otherwise(F.concat(F.lit("C"), (F.col("o_custkey") + F.col("o_orderkey") % 3 + 1).cast("string")))
-    some = o.where("o_orderkey % 4 = 0")
-    connections = some.select(*_connection(g, F.col("o_orderkey"), name("O", "o_orderkey"), name("C", "o_custkey"), other, F.lit(0.8)))
+    connections = o.select(*_connection(g, F.col("o_orderkey"), name("O", "o_orderkey"), name("C", "o_custkey"), other, F.lit(0.8)))
     return _with_terminals(equipment, connections)
 
 
