@@ -62,9 +62,9 @@ def net(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def net2(spark: SparkSession, sf_dir: str) -> Graph:
-    """One cyclic graph: regions (sources) - nations (buses) - suppliers (breakers, some closed) - parts (feeders) that they sell much of."""
+    """One cyclic graph: regions (sources) - nations (buses) - suppliers (breakers, some closed) - parts (feeders) that they sell."""
     r, n, s = (read(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
-    sold = read(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity >= 45").select("l_suppkey", "l_partkey").distinct()
+    sold = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     g = F.lit("net2")
     state = F.when(F.col("s_acctbal") >= 5000, "closed")
     equipment = (

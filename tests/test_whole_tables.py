@@ -67,3 +67,44 @@ def test_rules_see_every_order(spark, orders, neighbours):
     }
     for rule, targets in want.items():
         assert collected(spark, f"validate_{rule}", "target_id") == sorted((t,) for t in targets), rule
+
+
+@pytest.fixture(scope="module")
+def cyclic():
+    """(neighbours of every node of net2 over all pairs of lineitem, suppliers not known to be closed)."""
+    nation = dict(rows("nation", "n_nationkey", "n_regionkey"))
+    met = defaultdict(set)
+    lines = [(f"R{r}", f"N{n}") for n, r in nation.items()]
+    unknown = set()
+    for s, n, balance in rows("supplier", "s_suppkey", "s_nationkey", "s_acctbal"):
+        lines.append((f"N{n}", f"S{s}"))
+        if balance < 5000:
+            unknown.add(f"S{s}")
+    lines += [(f"S{s}", f"P{p}") for s, p in set(rows("lineitem", "l_suppkey", "l_partkey"))]
+    for a, b in lines:
+        met[a].add(b)
+        met[b].add(a)
+    return met, unknown
+
+
+def distances(met, start):
+    far, edge = {start: 0}, [start]
+    while edge:
+        edge = [b for a in edge for b in met[a] if b not in far and not far.update({b: far[a] + 1})]
+    return far
+
+
+def test_components_hold_every_part_and_supplier(spark, cyclic):
+    met, _ = cyclic
+    assert collected(spark, "components", "node", "component") == sorted((n, min(distances(met, n))) for n in met)
+
+
+def test_every_part_has_its_feeder_path(spark, cyclic):
+    met, unknown = cyclic
+    far = {r: distances(met, r) for r in met if r[0] == "R"}
+    want = []
+    for p in (n for n in met if n[0] == "P"):
+        path = min((r, n, s, p) for s in met[p] for n in met[s] if n[0] == "N" for r in met[n] if r[0] == "R")
+        ranked = sorted((d[p], r) for r, d in far.items() if p in d)[:4]
+        want.append((p, path[0], "|".join(path), any(d <= ranked[0][0] + 2 for d, _ in ranked[1:]), path[2] in unknown))
+    assert collected(spark, "ambiguous_feeders", "feeder", "source", "path", "multiple", "unknown") == sorted(want)
