@@ -153,10 +153,10 @@ def degree(spark, sf_dir):
 
 
 def strongest_edge(spark, sf_dir):
-    """The best candidate of each unordered pair, and the rank of its rivals."""
+    """The best candidate of each unordered pair, and the rank of all its rivals."""
     li = derived.read(spark, sf_dir, "lineitem")
     c = li.select(F.lit("run").alias("analysis_run_id"), (F.col("l_linenumber")).alias("page"), F.format_string("%d-%d", "l_orderkey", "l_linenumber").alias("id"), derived.name("x", "l_suppkey").alias("from_node_id"), F.concat(F.lit("x"), (F.col("l_partkey") % 100).cast("string")).alias("to_node_id"), F.col("l_discount").alias("overall_confidence"))
-    return topology.select_connections(c).where("rank <= 2").select("page", "id", "rank")
+    return topology.select_connections(c).select("page", "id", "rank")
 
 
 def text_normalize(spark, sf_dir):

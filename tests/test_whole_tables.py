@@ -108,3 +108,11 @@ def test_every_part_has_its_feeder_path(spark, cyclic):
         ranked = sorted((d[p], r) for r, d in far.items() if p in d)[:4]
         want.append((p, path[0], "|".join(path), any(d <= ranked[0][0] + 2 for d, _ in ranked[1:]), path[2] in unknown))
     assert collected(spark, "ambiguous_feeders", "feeder", "source", "path", "multiple", "unknown") == sorted(want)
+
+
+def test_strongest_edge_ranks_every_candidate(spark):
+    pairs = defaultdict(list)
+    for o, k, s, p, d in rows("lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_discount"):
+        pairs[k, frozenset((s, p % 100))].append((-d, f"{o}-{k}"))
+    want = [(k, i, n) for (k, _), found in pairs.items() for n, (_, i) in enumerate(sorted(found), 1)]
+    assert collected(spark, "strongest_edge", "page", "id", "rank") == sorted(want)
