@@ -20,6 +20,24 @@ from netsift.llm.common import table
 ROUNDS, DEFAULT_KEY = 8, "netsift"
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 
+#: What a group after a space may not begin, as it is a value of its own: a date, an address, a time, 555-123-4567, a card.
+_OTHER = r"(?! [0-9]+(?:[/:%]|[.-][0-9]+[.-][0-9])| [0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]| [0-9]{13})"
+#: 7 to 15 digits from the plus on; a longer match gives groups back until it holds.
+_DIGIT = "[ .()-]{0,2}[0-9]"
+_LENGTH = rf"(?<=\+{_DIGIT * 7}{f'(?:{_DIGIT})?' * 8})(?![0-9])"
+_AREA = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})"
+#: Digits without a gap; the layout of +1; groups after spaces, then after others, so that no space joins a tail on; any groups.
+_PHONE = (
+    r"(?<![A-Za-z0-9+])(?:\+[0-9]{11,15}(?![0-9])"
+    r"|\+1(?:[ .-]?\([0-9]{3}\)|[ .-][0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9]|[.-][0-9])"
+    rf"|{_AREA}(?=(?:[ .-]?[0-9]{{2,4}}){{2}})(?:(?:{_OTHER} )?[0-9]{{2,4}}){{0,4}}(?:[.-]?[0-9]{{2,4}}){{0,3}}{_LENGTH}"
+    rf"|{_AREA}(?:[ .-]?[0-9]{{2,4}}){{2,4}}{_LENGTH})"
+)
+#: Card numbers as they are printed: digits without a gap, 4-6-5 or 4-6-4, and fours, with a tail or a fifth four that _card tells apart.
+_PRINTED = r"(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:%s[ -][0-9]{1,3}|[ -][0-9]{4}(?![ -][0-9]{4}))?)(?![A-Za-z0-9-])" % _OTHER
+#: Other spacings count where no printed number begins at one of their groups.
+_CARD = rf"(?<![A-Za-z0-9.-])(?:{_PRINTED}|(?!(?:[0-9]{{1,12}}[ -]){{1,6}}{_PRINTED})[0-9](?:[ -]?[0-9]){{12,18}}(?![A-Za-z0-9-]))"
+
 #: Formats that are looked for, as Java regular expressions.  A match that fails its validation stays.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
@@ -27,8 +45,8 @@ FORMATS = {
     "ip": r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
     "date": r"(?<![A-Za-z0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![A-Za-z0-9/-])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
-    "phone": r"(?<![A-Za-z0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![A-Za-z0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![A-Za-z0-9.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9-])",
-    "card": r"(?<![A-Za-z0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9-])",
+    "phone": "|".join((_PHONE, r"(?<![A-Za-z0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])", r"(?<![A-Za-z0-9.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9-])")),
+    "card": _CARD,
 }
 ANY = "|".join(FORMATS.values())
 #: Values a date has: the 146097 days of 400 years from 1800 on, as 189 * 773.
@@ -175,6 +193,17 @@ def _phone(m: Column, key: str, invert: bool) -> Column:
 
 
 def _card(m: Column, key: str, invert: bool) -> Column:
+    """Of fours with more digits beside them the first sixteen digits are the card where they pass, then the last sixteen, then all."""
+    fours = m.rlike("^[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,4}$")
+    passes = lambda part: _luhn_sum(_only(part, "0-9")) % 10 == 0
+    first, last = F.substring(m, 1, 19), F.substring(m, 6, 19)
+    start = F.when(fours & ~passes(first) & (F.length(m) == 24) & passes(last), 6).otherwise(1)
+    width = F.when(fours & (passes(first) | (F.length(m) == 24)), 19).otherwise(F.length(m))
+    part = F.substring(m, start, width)
+    return F.concat(F.substring(m, F.lit(1), start - 1), _card_number(part, key, invert), F.substring(m, start + width, F.length(m)))
+
+
+def _card_number(m: Column, key: str, invert: bool) -> Column:
     digits = _only(m, "0-9")
     first, body = F.substring(digits, 1, 1), F.substring(digits, F.lit(2), F.length(digits) - 2)
     new = F.concat(first, feistel_text(body, DIGITS, key, F.concat(F.lit("card "), first), invert))

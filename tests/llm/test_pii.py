@@ -74,3 +74,19 @@ def test_feistel_text_is_a_bijection(spark):
 
 def test_days_cover_400_years():
     assert DAYS[0] * DAYS[1] == (datetime.date(2200, 1, 1) - datetime.date(1800, 1, 1)).days
+
+
+def test_values_beside_others(spark):
+    phone, card, ip = "+1 (826) 555-4081", "4111 1111 1111 1111", "190.137.223.204"
+    alone = dict(zip((phone, card, ip, "+44 20 7946 0958", "+18265554081"), changed(spark, [phone, card, ip, "+44 20 7946 0958", "+18265554081"])))
+    beside = [
+        (phone, " ", ip), (phone, " 12 people", ""), (phone, " 4711", ""), ("+44 20 7946 0958", " ", ip), ("+44 20 7946 0958", " ", card), (phone, " ", card), ("+18265554081", " 190", ""),
+        (card, " 12/25", ""), (card, " 123", ""), (card, " 1234", ""), (card, " ", ip), ("", "in 2024 ", card), ("", "12 ", card), (card, " ", card), (card, " ", phone), (ip, " ", card),
+    ]
+    texts = ["".join(b) for b in beside]
+    got = changed(spark, texts)
+    assert got == [alone.get(a, a) + between + alone.get(b, b) for a, between, b in beside]
+    assert all(k != v for k, v in alone.items())
+    assert changed(spark, got, invert=True) == texts
+    odd = ["+49 30 12345-67", "+33 1-23 45-67 89", "+49 30 123-45-67", "+4930123 4567", "40418 94974 60879 5"]
+    assert all(re.sub("[0-9]", "9", a) == re.sub("[0-9]", "9", b) and a[-2:] != b[-2:] or a.startswith("4") and a != b for a, b in zip(odd, changed(spark, odd)))
