@@ -32,6 +32,15 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, such that df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = "__" + name
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 #: Operator whose tables this process holds -> what drops them.
 _RESIDENT: dict[str, Callable[[], None]] = {}
 

@@ -6,18 +6,22 @@ dates and mail addresses are permuted under a key within their own format.  A
 Feistel network over the value's characters, or over a pair of mixed radices, is
 a bijection of the format's values: equal values get equal pseudonyms in all
 documents, different ones different ones, length and punctuation stay (but for numbers without leading
-zeros, as in addresses), check digits stay right, and the key's owner can invert it.
+zeros, as in addresses and some dates), check digits stay right, and the key's owner can invert it.  A date is
+one value however it is written; inverted, one without leading zeros may have them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsift.llm.common import table
+from netsift.llm.common import table, unused
 
-#: Feistel rounds.  The key of production runs is a parameter; this one serves where none is given.
-ROUNDS, DEFAULT_KEY = 8, "netsift"
+#: Feistel rounds, and the setting that holds the key.
+ROUNDS, KEY = 8, "spark.netsift.pii.key"
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 
 #: What a group after a space may not begin, as it is a value of its own: a date, an address, a time, 555-123-4567, a card.
@@ -38,12 +42,15 @@ _PRINTED = r"(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][
 #: Other spacings count where no printed number begins at one of their groups.
 _CARD = rf"(?<![A-Za-z0-9.-])(?:{_PRINTED}|(?!(?:[0-9]{{1,12}}[ -]){{1,6}}{_PRINTED})[0-9](?:[ -]?[0-9]){{12,18}}(?![A-Za-z0-9-]))"
 
-#: Formats that are looked for, as Java regular expressions.  A match that fails its validation stays.
+#: Where the country's code of a number without gaps ends.
+_COUNTRY = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Formats that are looked for, as Java regular expressions.  A match that fails its validation stays.  Repeated groups are
+#: bounded, as each turn of one takes a frame of the matcher's stack.
 FORMATS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
-    "date": r"(?<![A-Za-z0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![A-Za-z0-9/-])",
+    "date": r"(?<![A-Za-z0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?!(?!T[0-9]{2}:[0-9]{2})[A-Za-z0-9/-])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "phone": "|".join((_PHONE, r"(?<![A-Za-z0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])", r"(?<![A-Za-z0-9.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9-])")),
     "card": _CARD,
@@ -186,7 +193,7 @@ def _ssn(m: Column, key: str, invert: bool) -> Column:
 
 
 def _phone(m: Column, key: str, invert: bool) -> Column:
-    land = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[ .(-]))?", 1)  # the country's code stays
+    land = F.regexp_extract(m, rf"^(\+[0-9]{{1,3}}(?=[ .(-])|{_COUNTRY})?", 1)  # the country's code stays
     rest = F.substring(m, F.length(land) + 1, F.length(m))
     digits = _only(rest, "0-9")
     return F.when(F.length(_only(m, "0-9")).between(7, 15), F.concat(land, _refill(rest, "0-9", feistel_text(digits, DIGITS, key, F.lit("phone"), invert)))).otherwise(m)
@@ -225,26 +232,42 @@ def pseudonym(match: Column, key: str, invert: bool = False) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", count_col: str | None = None, invert: bool = False) -> DataFrame:
+def secret(spark: SparkSession) -> str:
+    """The key that the session's KEY names; where it names none, one drawn at random for this application.
+
+    Pseudonyms under a random key link values within the application's results
+    only, and nobody can turn them back.
+    """
+    return spark.conf.get(KEY, None) or _drawn(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=4)
+def _drawn(application: str) -> str:
+    return secrets.token_hex(32)
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None, invert: bool = False) -> DataFrame:
     """docs with the personal data in text_col replaced; other columns, rows and their order in partitions stay.
 
     count_col: a further column with the number of replaced values.  Null texts
     stay null and count 0; texts without a digit or @ are not searched at all.
-    invert: turns pseudonyms under the same key back.
+    Repeated rows change alike, an empty table stays empty, and columns of any
+    other name are kept.  invert: turns pseudonyms under the same key back.
     """
     text = F.col(text_col)
+    found_, new_ = unused(docs, "found"), unused(docs, "new")
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
     # evaluated once a row: both are inputs of the projections above
-    rows = docs.withColumn("__found", found)
-    rows = rows.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(m, key, invert))))
+    rows = docs.withColumn(found_, found)
+    rows = rows.withColumn(new_, F.when(F.size(found_) > 0, F.transform(found_, lambda m: pseudonym(m, key, invert))))
     gaps = F.split(text, ANY, -1)
-    spelled = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get(F.col("__new"), i), F.lit(""))))), "")
-    changed = F.coalesce(F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x)), F.lit(0))
+    spelled = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get(F.col(new_), i), F.lit(""))))), "")
+    changed = F.coalesce(F.size(F.filter(F.zip_with(found_, new_, lambda a, b: a != b), lambda x: x)), F.lit(0))
     if count_col:
-        rows = rows.withColumn(count_col, F.when(F.col("__new").isNull(), F.lit(0)).otherwise(changed).cast("long"))
-    return rows.withColumn(text_col, F.when(F.col("__new").isNull(), text).otherwise(spelled)).drop("__found", "__new")
+        rows = rows.withColumn(count_col, F.when(F.col(new_).isNull(), F.lit(0)).otherwise(changed).cast("long"))
+    return rows.withColumn(text_col, F.when(F.col(new_).isNull(), text).otherwise(spelled)).drop(found_, new_)
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
-    """(doc_id, text, n_replaced) of every document."""
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_replaced")
+    """(doc_id, text, n_replaced) of every document, under the session's key (see secret).  A null text stays null with 0."""
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), secret(spark), count_col="n_replaced")
