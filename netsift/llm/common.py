@@ -22,13 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS, BATCH_BYTES = 2000, 16 * 1024 * 1024
 
 
-def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) for an Arrow operator.  From here on the session's Arrow batches are small enough for long texts."""
-    conf = docs.sparkSession.conf
+def bound_batches(spark: SparkSession) -> None:
+    """From here on the session's Arrow batches are small enough for long texts; results do not depend on it."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(conf.get(key).rstrip("bB"))
+        now = int(spark.conf.get(key).rstrip("bB"))
         if not 0 < now <= most:
-            conf.set(key, str(most))
+            spark.conf.set(key, str(most))
+
+
+def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) for an Arrow operator, in bounded batches."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -78,11 +82,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     clean = labels.where(keep).groupBy(F.col(id_col).alias("__id")).agg(F.min(label).alias("__lo"), F.max(label).alias("__hi"))
     clean = clean.where("__id is not null and __lo = __hi").select("__id", F.col("__lo").cast("int").alias("__label"))
     counts = {r["__label"]: r["n"] for r in clean.where(F.col("__label").isin(list(caps))).groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    spread = 1 << 20
-    part = F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(spread))
+    part, whole = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "__id"), 1), 1 << 63
     draw = F.lit(False)
     for value, cap in caps.items():
-        draw = draw | ((F.col("__label") == value) & (part < int(spread * min(1.0, cap / max(1, counts.get(value, 0))))))
+        most = whole - 1 if counts.get(value, 0) <= cap else whole * cap // counts[value]
+        draw = draw | ((F.col("__label") == value) & (part <= F.lit(most)))
     drawn = clean.where(draw)
     found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "__id")
     return found.select(F.col("__id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("__label").alias("label"))
