@@ -24,7 +24,7 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import regex
 
@@ -66,7 +66,7 @@ class Automaton:
         self._spelling()
         self.arcs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
-        self.sizes: dict[str, int] = {}
+        self.prefixes: dict[str, bytes | list[int]] = {}
 
     def _spelling(self) -> None:
         """Failure-link matcher: step (state * 256 + byte -> state), longest token of a state, next shorter token."""
@@ -171,18 +171,27 @@ class Automaton:
                 self.words[word] = found
         return found
 
-    def count_word(self, word: str) -> int:
-        """Tokens of one pre-split word; kept for the next time."""
-        found = self.sizes.get(word)
+    def prefix_word(self, word: str) -> bytes | list[int]:
+        """Tokens of each prefix of one pre-split word, by code points from none on; kept for the next time."""
+        found = self.prefixes.get(word)
         if found is None:
-            found = self.run(word.encode())[1][-1]
-            if len(self.sizes) >= WORDS_KEPT:
-                self.sizes.clear()
+            raw = word.encode()
+            counts = self.run(raw)[1]
+            if len(raw) != len(word):
+                counts = [counts[end] for end in accumulate(map(_width, word), initial=0)]
+            found = bytes(counts) if counts[-1] < 256 else counts
+            if len(self.prefixes) >= WORDS_KEPT:
+                self.prefixes.clear()
             if len(word) <= 64:
-                self.sizes[word] = found
+                self.prefixes[word] = found
         return found
 
 
+def _width(char: str) -> int:
+    """Bytes of a code point in UTF-8."""
+    return 1 + (char > "\x7f") + (char > "\u07ff") + (char > "\uffff")
+
+
 class ByteBPE:
     """A byte-level vocabulary file: automaton, splitting pattern and special strings."""
 

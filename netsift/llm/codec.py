@@ -45,4 +45,5 @@ def digests() -> dict[str, Column]:
 
 
 def op6_bpe_codec(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document; a null text is the empty one, with no ids."""
     return encode_decode(table(spark, sf_dir, "documents")).withColumns(digests()).drop("ids", "decoded")

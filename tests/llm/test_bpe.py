@@ -76,8 +76,9 @@ def test_automaton_is_bpe_on_random_merges():
 def test_prefix_counts(both):
     mine, library = both
     rng = random.Random(4)
-    for _ in range(150):
-        text = "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 12)))
+    cuts = [*PIECES, "<", "!", "'", "'ll", "'ve", "<|", "|>", " \n"]
+    texts = ["".join(rng.choice(cuts) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    for text in ["foo<<|endoftext|>", "a <|endoftext|>", "a'<|endoftext|><|endoftext|> \n \n b", "<" * 300 + "<|endoftext|>", " " * 200 + "x" + "\n" * 100, *texts]:
         p, ids = PrefixCounts(mine, text), library.encode(text, add_special_tokens=False).ids
         assert p.total == len(ids)
         for k in range(len(text) + 1):
@@ -86,6 +87,17 @@ def test_prefix_counts(both):
             assert text[: p.fit(k)] == mine.decode(ids[:k]).rstrip("�")
 
 
+def test_counts_at_prefixes_encode_nothing(both, monkeypatch):
+    mine, library = both
+    text = "It's <<|endoftext|>   a \n\n longer text, they'll count; été 日本 " * 40
+    p = PrefixCounts(mine, text)
+    assert p.at(0) == 0 and p.fit(10) > 0
+    want = [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(0, len(text), 7)]
+    p.at(1)
+    monkeypatch.setattr(Automaton, "run", None)
+    assert [p.at(k) for k in range(0, len(text), 7)] == want
+
+
 ROWS = [(1, "Hello  world's <|endoftext|>\n", "s"), (2, None, "s"), (3, "", None), (3, "", None), (None, "x" * 3000, "s"), (4, "été 日本 " * 400, "s")]
 
 
