@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from netsift.llm.common import table
 from netsift.llm.grid import matrices, top_by_query, usable
 
-#: Queries of one tile.
-TILE = 128
+#: Queries of one tile, and components of the pairs that are recomputed at once.
+TILE, AT_ONCE = 128, 1 << 20
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -32,6 +32,15 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return acc
 
 
+def _cosines(q_mat: np.ndarray, q_len: np.ndarray, i: np.ndarray, mat: np.ndarray, norm: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs (i, c), some at a time: however many pairs tie, their vectors take bounded memory."""
+    out, step = np.empty(len(i)), max(1, AT_ONCE // mat.shape[1])
+    for lo in range(0, len(i), step):
+        a, b = i[lo : lo + step], c[lo : lo + step]
+        out[lo : lo + step] = _dot(q_mat[a], mat[b]) / (q_len[a] * norm[b])
+    return out
+
+
 def _sized(m: np.ndarray) -> np.ndarray:
     """m, but rows whose square sum leaves the doubles are divided by their largest component."""
     with np.errstate(over="ignore", under="ignore"):
@@ -72,10 +81,12 @@ def _cell(k: int):
                 low = np.where(ids == q_ids[at, None], -np.inf, near - slack)
                 floor = np.partition(low, low.shape[1] - k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
                 i, c = np.nonzero((near + slack >= floor[:, None]) & (ids != q_ids[at, None]))
-                score = _dot(q_mat[lo + i], mat[c]) / (q_len[lo + i] * norm[c])
+                score = _cosines(q_mat, q_len, lo + i, mat, norm, c)
                 cut = np.searchsorted(i, np.arange(len(low) + 1))
                 for r in range(len(low)):
-                    own = slice(cut[r], cut[r + 1])
+                    own = np.arange(cut[r], cut[r + 1])
+                    if len(own) > 4 * k:  # of equal scores only the smallest ids can stay
+                        own = own[np.lexsort((ids[c[own]], -score[own]))[:k]]
                     for s, v in heapq.nsmallest(k, zip((-score[own]).tolist(), ids[c[own]].tolist(), strict=True)):
                         out.append((q_ids[lo + r], q_rows[lo + r], v, -s))
         ints = [np.array([x[j] for x in out], np.int64) for j in range(3)]
@@ -98,6 +109,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
 
 
 def op4_ann(spark, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score): the 5 nearest of each row whose vec_id is divisible by 50; unusable rows as in nearest."""
     return nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
 
 

@@ -56,14 +56,15 @@ def _branch_and_bound(q_ids, q_mat, ids, mat, k: int):
             yield i, live, partial
 
 
-def _cell(k: int):
+def _cell(k: int, scale: float):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
-        groups = {m.shape[1]: (ids, m) for ids, _, m in matrices(candidates)}
+        groups = {m.shape[1]: (ids, np.floor(scale * m)) for ids, _, m in matrices(candidates)}
         for q_ids, q_rows, q_mat in matrices(queries):
             if q_mat.shape[1] not in groups:
                 continue
             ids, mat = groups[q_mat.shape[1]]
+            q_mat = np.floor(scale * q_mat)
             if mat.shape[1] * np.abs(mat).max() * np.abs(q_mat).max() < _EXACT:
                 found = _branch_and_bound(q_ids, q_mat, ids, mat, k)
             else:  # beyond exact doubles: Python's integers
@@ -90,16 +91,11 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, i
     non-finite component take no part.  Rows that repeat an id are ranked apart
     as queries and each count as candidates.  Scores beyond a long stay at its ends.
     """
-    rows = usable(vectors, id_col, vec_col).withColumn("vec", F.transform("vec", lambda x: _floor(x * F.lit(float(scale)))))
-    return top_by_query(rows, is_query, k, "long", _cell(k))
-
-
-def _floor(x):
-    """floor() as a double of any size."""
-    return F.when(F.abs(x) < F.lit(2.0**52), F.floor(x).cast("double")).otherwise(x)
+    return top_by_query(usable(vectors, id_col, vec_col), is_query, k, "long", _cell(k, scale))
 
 
 def op3_exact_topk(spark, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score): the 20 best of each row whose vec_id is divisible by 20; unusable rows as in exact_topk."""
     return exact_topk(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
 
 

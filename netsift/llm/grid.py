@@ -17,21 +17,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a candidate group and of a query group, about.
-CANDIDATES, QUERIES = 8192, 2048
+#: Rows of a candidate group and of a query group, about.  Each vector goes to all groups of the other side, so their
+#: number, and with it the shuffle, is the rows by these.
+CANDIDATES, QUERIES = 8192, 16384
 
 _CELL = "query_id long, query_row long, vec_id long, score {kind}"
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec: array<double>) of rows whose id and vector hold no null and no non-finite number."""
-    v = F.col(vec_col).cast("array<double>")
+    """(vec_id, vec: array of floats, or doubles) of rows whose id and vector hold no null and no non-finite number."""
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    v = F.col(vec_col).cast(kind if kind == "array<float>" else "array<double>")  # floats travel as they are: half the bytes
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vec")).where("vec_id is not null and vec is not null and size(vec) > 0").where(~bad)
 
 
 def matrices(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(vec_id, row, matrix) for the rows of each number of dimensions."""
+    """(vec_id, row, matrix of doubles) for the rows of each number of dimensions."""
     if not table.num_rows:
         return
     vec = table["vec"].combine_chunks()
@@ -41,7 +43,7 @@ def matrices(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
     ids, rows = np.asarray(table["vec_id"]), np.asarray(table["row"])
     for d in np.unique(size):
         at = np.flatnonzero(size == d)
-        yield ids[at], rows[at], flat[start[at][:, None] + np.arange(d)]
+        yield ids[at], rows[at], flat[start[at][:, None] + np.arange(d)].astype(np.float64)
 
 
 def top_by_query(vectors: DataFrame, is_query, k: int, kind: str, cell: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:

@@ -87,3 +87,22 @@ def test_repeated_ids_are_ranked_apart(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
     got = sorted(map(tuple, exact_topk(frame(spark, rows), F.col("vec_id") == 0, k=1).collect()))
     assert got == [(0, 1, 1, 64 * 64), (0, 1, 2, 64 * 64)]
+
+
+def test_ties_take_bounded_memory():
+    """128 equal queries against 8,192 equal vectors: every pair survives the bounds."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    import netsift.llm.ann as ann
+
+    d, n = 256, 8192
+    side = lambda ids: pa.table({"vec_id": pa.array(ids, pa.int64()), "row": pa.array(ids, pa.int64()), "vec": pa.array([[1.0] * d] * len(ids), pa.list_(pa.float32()))})
+    queries, candidates = side(range(n, n + 128)), side(range(n))
+    tracemalloc.start()
+    got = ann._cell(5)(queries, candidates)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["vec_id"].to_pylist() == [0, 1, 2, 3, 4] * 128 and set(got["score"].to_pylist()) == {1.0}
+    assert peak < 250e6
