@@ -116,13 +116,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs' rows as often as mix() takes them; texts are not shuffled."""
+    """docs' rows as often as mix() takes them; texts are not shuffled.
+
+    Rows of a null text, of no words or of an empty source have size 0: they are
+    taken as mix() says of their source and hash.  A null source is one of its own.
+    Rows that repeat an id stay together; columns keep their names, whatever they are.
+    """
     plan = Plan(_sized(docs, id_col, text_col, source_col), weights, cap)
-    taken = plan.apply(docs, source_col, _hash(id_col)).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source_col).alias("source"), _hash(id_col).alias("h"))
+    taken = plan.apply(packed, "source", F.col("h")).where("__copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every document; nulls and repeats as in mix()."""
     from netsift.llm.common import table
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

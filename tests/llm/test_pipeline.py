@@ -5,7 +5,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from netsift.llm.bpe import default_path
-from netsift.llm.pii import pseudonymise
+from netsift.llm.pii import KEY, pseudonymise
 from tests.llm.test_mixing import brute as mix_brute
 from tests.llm.test_ngram_join import brute as join_brute
 
@@ -16,6 +16,7 @@ SF = "/root/testdata/sf0.001"
 def steps(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("steps")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    spark.conf.set(KEY, "netsift")
     out = [docs]
     for name, stage in cp.STAGES:
         stage(spark, docs, SF).write.parquet(f"{folder}/{name}")
@@ -50,7 +51,7 @@ def test_pii_can_be_inverted(steps):
     before = {r["doc_id"]: r["text"] for r in steps[2].collect()}
     after = {r["doc_id"]: r for r in steps[3].collect()}
     assert before.keys() == after.keys() and any(before[k] != after[k]["text"] for k in before)
-    assert {r["doc_id"]: r["text"] for r in pseudonymise(steps[3], invert=True).collect()} == before
+    assert {r["doc_id"]: r["text"] for r in pseudonymise(steps[3], "netsift", invert=True).collect()} == before
     assert all(r["n_chars"] == len(r["text"]) for r in after.values())
 
 
@@ -79,3 +80,22 @@ def test_empty_and_odd_rows(spark):
             out = stage(spark, df, SF)
             assert name == "tokens" or out.columns == df.columns
             out.collect()
+
+
+def test_clashing_columns_stay(spark):
+    names = ["__score", "__toxic", "__found", "__new", "__source", "__whole", "__end", "__size", "__copies", "row", "copy", "h", "mark", "__id", "__stays", "node", "score"]
+    df = spark.createDataFrame([(1, "mail a@b.org twice", "en", "s", 18, *range(len(names))), (2, None, "en", None, 0, *range(len(names)))], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns
+        assert {tuple(r)[5:] for r in out.collect()} <= {tuple(range(len(names)))}
+
+
+def test_run_leaves_only_its_last_stage(spark):
+    import os
+
+    folder = cp.ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = {x for x in os.listdir(folder) if x.startswith("corpus-")}
+    assert cp.run(spark, SF).count() > 0
+    (new,) = {x for x in os.listdir(folder) if x.startswith("corpus-")} - before
+    assert os.listdir(f"{folder}/{new}") == ["tokens"]
