@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set and everything runs in one process (tests)."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found:
         return found
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="netsift-"))
     return sc.getCheckpointDir()
 
