@@ -2,9 +2,10 @@
 
 1. Each document becomes the set of its hashed word n-grams.  Equal sets are one
    class from the start, whatever their number.
-2. A global order puts rare n-grams first: by a table of SLOTS counters over all
-   documents (bounded, and only an order, so collisions cost time, not links),
-   then by hash.
+2. A global order puts rare n-grams first: by a table of counters over all
+   documents, then by hash.  The table grows with the corpus up to MOST_SLOTS bytes
+   (it is only an order, so collisions cost time, not links); its counts are
+   logarithms, so they do not saturate.
 3. Two sets that link share at least min(SHARED, overlap) n-grams among the first
    n - ceil(t * n) + SHARED of each.  Short lists of sets with such an n-gram
    give pairs that are counted; long lists give only an edge from each set to one
@@ -13,8 +14,10 @@
 4. Inside a group the ordered sets are stored in a trie and each set traverses
    it: shared beginnings are compared once, subtrees whose sizes or remaining
    lengths cannot reach the needed overlap are pruned, and sets that are known
-   to be connected are skipped.  Groups of any size are split into blocks; each
-   pair of blocks is a task of bounded size that returns a forest of its links.
+   to be connected are skipped.  A group of any size is split into blocks, tasks of
+   bounded size that return a forest of their links; a few sets of the group stand
+   in all its blocks and tie them together.  Only parts of a group that are still
+   apart meet again, block by block: sets of one part are never compared anew.
 5. Connected components of the links are the result.
 
 No pairs inside a large group are ever emitted; no link is lost.
@@ -30,51 +33,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import release, reside, table, texts_of
+from netsift.llm.common import release, reside, table, texts_of, unused
 from netsift.llm.shingles import _mix, shingle_sets, text_buffers
 from netsift.operators.components import connected_components
-from netsift.plans.lineage import cut
+from netsift.plans.lineage import cut, forget
 
-#: Counters of the global order, and slots of one emitted chunk.
-SLOTS, CHUNK = 1 << 23, 1 << 20
+#: Counters of the global order: one for so many bytes of text, so many at least and at most; counters of one emitted chunk.
+SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS, CHUNK = 128, 1 << 18, 1 << 26, 1 << 15
 #: N-grams that linking sets share at their beginnings; longest list that gives pairs.
 SHARED, LIST = 4, 32
 #: Sets and n-grams of a block, about.
 BLOCK_SETS, BLOCK_GRAMS = 256, 1 << 20
-#: Rows of two or three numbers up to which a table is broadcast; beyond, plain joins.
-BROADCAST_ROWS = 2_000_000
-#: Documents that are shingled at once.
-BATCH = 256
+#: Sets of a group of several blocks that stand in each of them, about.
+PIVOTS = 16
+#: Bytes of numbers up to which a table is broadcast; beyond, plain joins.  Parts that a long list's joins are dealt into.
+BROADCAST_BYTES, SALTS = 1 << 20, 16
+#: Documents, and bytes of text, that are shingled at once; a longer text on its own.
+BATCH, BATCH_TEXT = 256, 2 << 20
 
 
 def _maybe_broadcast(small: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+    """small, of so many rows of numbers, as a broadcast side where its bytes are within the bound."""
+    return F.broadcast(small) if rows * 8 * len(small.columns) <= BROADCAST_BYTES else small
 
 
 def _sets(batches: Iterator[pa.RecordBatch], column: int, n: int):
-    """(batch part, hashes, bounds) of BATCH rows at a time."""
+    """(batch part, hashes, bounds) of some rows at a time."""
     reside("ngrams")
     for batch in batches:
-        for lo in range(0, batch.num_rows, BATCH):
-            part = batch.slice(lo, BATCH)
-            yield part, *shingle_sets(*text_buffers(part.column(column)), n)
+        data, offsets = text_buffers(batch.column(column))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = min(lo + BATCH, int(np.searchsorted(offsets, offsets[lo] + BATCH_TEXT, side="right")) - 1, batch.num_rows)
+            hi = max(lo + 1, hi)
+            yield batch.slice(lo, hi - lo), *shingle_sets(data, offsets[lo : hi + 1], n)
+            lo = hi
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+def _slots(hashes: np.ndarray, slots: int) -> np.ndarray:
+    """Positions in a table of slots, a power of two."""
+    return (hashes >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
 
 
 def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """How many documents have an n-gram in each slot, at most 255: SLOTS bytes, whatever the corpus."""
+    """A byte for each slot: 8 * log2(1 + documents that have an n-gram there).
+
+    Each task sends chunks of its counters, which are added up over all shuffle
+    partitions; the driver gets the sums as bytes.
+    """
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).head()["b"] or 0
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (int(size) // SLOT_BYTES).bit_length()))
 
     def count(batches):
-        low = np.zeros(SLOTS, np.uint8)
+        low = np.zeros(slots, np.uint16)
         for _, hashes, _ in _sets(batches, 0, n):
-            slot, times = np.unique(_slots(hashes), return_counts=True)
-            low[slot] = np.minimum(low[slot] + times, 255)
-        for lo in range(0, SLOTS, CHUNK):
-            if low[lo : lo + CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([lo // CHUNK], pa.int32()), pa.array([zlib.compress(low[lo : lo + CHUNK].tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
+            slot, times = np.unique(_slots(hashes, slots), return_counts=True)
+            low[slot] = np.minimum(low[slot] + times, 65535)
+        for lo in range(0, slots, CHUNK):
+            part = low[lo : lo + CHUNK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([lo // CHUNK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
         del low
         release()
 
@@ -82,16 +100,18 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(zlib.decompress(packed.as_py()), np.uint8)
-                totals[chunk] = np.minimum(totals.get(chunk, np.uint16(0)) + part.astype(np.uint16), 255)
+                part = np.frombuffer(zlib.decompress(packed.as_py()), np.uint16)
+                totals[chunk] = totals.get(chunk, 0) + part.astype(np.int64)
         for chunk, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "counts"])
+            coded = np.minimum(8 * np.log2(1.0 + total), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(coded.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
 
     schema = "chunk int, counts binary"
-    merged = docs.select("text").mapInArrow(count, schema).repartition(SLOTS // CHUNK, "chunk").mapInArrow(merge, schema)
-    counts = np.zeros(SLOTS, np.uint8)
-    for row in merged.toLocalIterator():  # at most SLOTS bytes
-        counts[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.uint8)
+    merged = docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(merge, schema)
+    counts = np.zeros(slots, np.uint8)
+    for row in merged.collect():  # slots bytes at most
+        part = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
+        counts[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(part)] = part
     return counts
 
 
@@ -112,25 +132,25 @@ def needed(a, b, num: int, den: int):
 
 
 def _described(docs: DataFrame, n: int, num: int, den: int, counts) -> DataFrame:
-    """(doc_id, size, node, head): set size, fingerprint (null: empty set) and the rarest n-grams."""
+    """(doc_id, mark, size, node, head): set size, fingerprint (null: empty set) and the rarest n-grams."""
 
     def run(batches):
         rank = counts.value
-        for part, hashes, bounds in _sets(batches, 1, n):
+        for part, hashes, bounds in _sets(batches, 2, n):
             size = np.diff(bounds)
             node = _fingerprints(hashes, bounds).view(np.int64)
             heads = []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 own = hashes[lo:hi]
                 k = min(hi - lo, hi - lo + (-num * (hi - lo) // den) + SHARED)
-                order = np.argsort(rank[_slots(own)], kind="stable")[:k]  # ties by hash: own is sorted
+                order = np.argsort(rank[_slots(own, len(rank))], kind="stable")[:k]  # ties by hash: own is sorted
                 heads.append(own[order].view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(h) for h in heads])))
             head = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0), head], names=["doc_id", "size", "node", "head"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0), head], names=["doc_id", "mark", "size", "node", "head"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, size long, node long, head array<long>")
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, f"doc_id {kind}, mark long, size long, node long, head array<long>")
 
 
 def _candidate_edges(classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -154,8 +174,9 @@ def _candidate_edges(classes: DataFrame, num: int, den: int) -> DataFrame:
     # sizes of linking sets differ by the ratio at most, so their classes are equal or neighbours
     level = F.floor(F.log(F.col("size").cast("double")) / -np.log(ratio) + 1e-9).cast("long") if ratio < 1 else F.col("size")
     long = met.where(F.col("m") > LIST).select("gram", "node", F.explode(F.array(level, level + 1)).alias("level"))
-    leader = long.groupBy("gram", "level").agg(F.min("node").alias("dst"))
-    stars = long.join(leader, ["gram", "level"]).where("node <> dst").select(F.col("node").alias("src"), "dst")
+    leader = long.groupBy("gram", "level").agg(F.min("node").alias("dst")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = long.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))  # a list of any length is dealt out
+    stars = salted.join(leader, ["gram", "level", "salt"]).where("node <> dst").select(F.col("node").alias("src"), "dst")
     return pairs.unionByName(stars).distinct()
 
 
@@ -213,13 +234,14 @@ class _Trie:
             stack += [(kid, overlap, used) for kid in kids]
 
 
-def _forest(nodes: list[int], sides: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the two sides, or among all if there is one."""
+def _forest(nodes: list[int], parts: list[int], sides: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the two sides, or among all if there is one; sets of one part count as linked."""
     if len(nodes) < 2:
         return []
     every = np.unique(np.concatenate(sets))
     local = [np.searchsorted(every, s) for s in sets]
-    parent = list(range(len(nodes)))
+    first: dict[int, int] = {}
+    parent = [first.setdefault(p, k) for k, p in enumerate(parts)]
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -242,80 +264,142 @@ def _forest(nodes: list[int], sides: list[int], sets: list[np.ndarray], num: int
     return found
 
 
-def _links(docs: DataFrame, members: DataFrame, clusters: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(src, dst): a forest of the links of every group.  members: (node, size, doc_id) of one document a node."""
-    inside = cut(members.join(clusters, "node"))
-    total = inside.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    inside = cut(inside.join(total.select("component", blocks.alias("blocks")), "component").select("node", F.col("doc_id").alias("__id"), "component", "blocks"))
-    wanted = docs.join(_maybe_broadcast(inside, inside.count()), docs["doc_id"].eqNullSafe(inside["__id"])).select("node", "component", "blocks", "text")
+def _spelt(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """(node, grams) of members (node, doc_id, mark, ...): the sets of one document a node, as bytes."""
+    at = members.select("node", F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+    found = docs.join(_maybe_broadcast(at, members.count()), docs["doc_id"].eqNullSafe(at["__id"]) & docs["mark"].eqNullSafe(at["__mark"])).select("node", "text")
 
     def spell(batches):
-        for part, hashes, bounds in _sets(batches, 3, n):
-            own = np.flatnonzero(_fingerprints(hashes, bounds).view(np.int64) == np.asarray(part.column(0)))  # other texts of a repeated id
-            grams = pa.array([hashes[bounds[i] : bounds[i + 1]].tobytes() for i in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(own)) for k in range(3)), grams], names=["node", "component", "blocks", "grams"])
+        for part, hashes, bounds in _sets(batches, 1, n):
+            grams = pa.array([hashes[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), grams], names=["node", "grams"])
 
-    spelt = wanted.mapInArrow(spell, "node long, component long, blocks int, grams binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spelt = spelt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = spelt.select("node", "grams", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-
-    def solve(cell: pa.Table) -> pa.Table:
-        nodes, seen = [], set()
-        sides, sets = [], []
-        for node, side, grams in zip(cell["node"].to_pylist(), cell["side"].to_pylist(), cell["grams"].to_pylist(), strict=True):
-            if node not in seen:  # repeated rows of a document
-                seen.add(node)
-                nodes.append(node)
-                sides.append(side)
-                sets.append(np.frombuffer(grams, np.uint64))
-        links = _forest(nodes, sides, sets, num, den) if cell["low"][0] == cell["high"][0] or 0 < sum(sides) < len(sides) else []
+    return found.mapInArrow(spell, "node long, grams binary")
+
+
+def _solve(num: int, den: int):
+    """A cell's forest; its rows are (node, part, side, grams), and sets of one part are known to be connected."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        rows = {}  # by node: rows of a document may be repeated
+        for node, part, side, grams in zip(*(cell[c].to_pylist() for c in ("node", "part", "side", "grams")), strict=True):
+            rows.setdefault(node, (part, side, grams))
+        sides = [x[1] for x in rows.values()]
+        whole = cell["low"][0] == cell["high"][0]
+        links = _forest(list(rows), [x[0] for x in rows.values()], sides, [np.frombuffer(x[2], np.uint64) for x in rows.values()], num, den) if whole or 0 < sum(sides) < len(sides) else []
         return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["src", "dst"])
 
-    return cells.groupBy("component", "low", "high").applyInArrow(solve, "src long, dst long")
+    return run
 
 
-def jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs.
+def _links(docs: DataFrame, members: DataFrame, clusters: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(src, dst): a forest of the links of every group.  members: (node, size, doc_id, mark) of one document a node."""
+    solve, pairs = _solve(num, den), "src long, dst long"
+    inside = cut(members.join(clusters, "node"))
+    total = inside.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    inside = cut(inside.join(total.select("component", "m", blocks.alias("blocks")), "component"))
+    sets = cut(_spelt(docs, inside, n).join(inside.select("node", "component", "m", "blocks", "size"), "node"))
 
-    Two documents link when den * intersection >= num * union of their sets of
-    word n-grams (shingles.py); component_id is the smallest id reachable by
-    links, its own included.  A null or wordless text has the empty set, links
-    with nothing and is its own component.  Rows that repeat an id are documents
-    of their own; a null id is never the smallest unless all are.
-    Sets and n-grams are told apart by 64-bit hashes.
-    """
-    docs = texts_of(docs, id_col, text_col)
+    # each set in its block, a few in all blocks of their group
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pivot = F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("m")) < PIVOTS
+    at = F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own)))
+    cells = sets.select("node", F.col("node").alias("part"), "grams", "component", at.alias("low"), F.lit(0).alias("side")).withColumn("high", F.col("low"))
+    near = cut(cells.groupBy("component", "low", "high").applyInArrow(solve, pairs))
+
+    large = sets.where("blocks > 1")
+    if large.isEmpty():
+        return near
+    found = cut(connected_components(near).select("node", F.col("component").alias("part")))
+    forget(docs.sparkSession)
+    large = large.select("node", "grams", "size", "component").join(found, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parts = cut(large.groupBy("component", "part").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams")))
+    # bins of a group: a large part has its own, small parts share the others
+    bins = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    alone = (F.col("m") * 2 >= BLOCK_SETS) | (F.col("grams") * 2 >= BLOCK_GRAMS)
+    apart = parts.groupBy("component").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("component")
+    open_ = parts.join(apart, "component").withColumn("alone", alone)
+    shared = open_.where(~F.col("alone")).groupBy("component").agg(F.sum("m").alias("m"), F.sum("grams").alias("grams")).select("component", bins.alias("bins"))
+    placed = cut(open_.where("alone").select("component", "part", "alone", bins.alias("bins")).unionByName(open_.where(~F.col("alone")).join(shared, "component").select("component", "part", "alone", "bins")))
+    bin_ = F.struct("alone", F.when(F.col("alone"), F.col("part")).alias("of"), "k")
+    every = placed.select("component", "alone", F.when(F.col("alone"), F.col("part")).alias("part"), "bins").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
+    every = cut(every.select("component", bin_.alias("other")))
+    key = F.when(F.col("alone"), F.xxhash64("node")).otherwise(F.xxhash64("part"))
+    mine = large.join(placed, ["component", "part"]).withColumn("k", F.pmod(key, F.col("bins")).cast("int")).select("node", "part", "grams", "component", bin_.alias("own"))
+    met = mine.join(_maybe_broadcast(every, every.count() * 2), "component").where("not (own.alone and other.alone and own.of = other.of)")
+    cells = met.select("node", "part", "grams", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return near.unionByName(cells.groupBy("component", "low", "high").applyInArrow(solve, pairs))
+
+
+def _joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, mark, n_shingles, component, component_id) of every row of docs (doc_id, mark, text); component: null for an empty set."""
     counts = docs.sparkSession.sparkContext.broadcast(gram_counts(docs, n))
     release()
     rows = cut(_described(docs, n, num, den, counts))
     filled = rows.where("node is not null")
-    classes = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark"))
+    classes = cut(filled.groupBy("node").agg(one.alias("one"), F.first("size").alias("size")).select("node", "size", "one.doc_id", "one.mark"))
     heads = filled.dropDuplicates(["node"]).select("node", "size", "head")
     edges = cut(_candidate_edges(heads, num, den))
+    forget(docs.sparkSession)
     clusters = cut(connected_components(edges).select("node", "component"))
+    forget(docs.sparkSession)
     links = cut(_links(docs, classes, clusters, n, num, den))
-    found = connected_components(links)
+    forget(docs.sparkSession)
+    found = cut(connected_components(links))
+    forget(docs.sparkSession)
     least = classes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = least.join(names, "component").select("node", "component_id")
-    out = rows.select("doc_id", F.col("size").alias("n_shingles"), "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = least.join(names, "component").select("node", "component", "component_id")
+    out = rows.select("doc_id", "mark", F.col("size").alias("n_shingles"), "node").join(named, "node", "left")
+    return out.select("doc_id", "mark", "n_shingles", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, mark, text): mark tells apart the texts of one id."""
+    return texts_of(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+
+
+def jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs.
+
+    Two documents link when den * intersection >= num * union of their sets of
+    word n-grams (shingles.py); component_id is the smallest id reachable by
+    links, its own included.  A null or wordless text has the empty set, links
+    with nothing and is its own component.  Rows that repeat an id are documents
+    of their own; a null id is never the smallest unless all are.  Other columns are
+    not read; an empty table gives no rows.
+    Sets and n-grams are told apart by 64-bit hashes.
+    """
+    return _joined(_marked(docs, id_col, text_col), n, num, den).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one document, the one of smallest id, of each component of jaccard_join."""
-    joined = cut(jaccard_join(docs, n, num, den, id_col, text_col))
-    gone = joined.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.lit(True).alias("__out"))
-    stay = joined.where("doc_id = component_id and n_shingles > 0").select("doc_id")
-    kept = docs.join(_maybe_broadcast(gone.distinct(), gone.count()), F.col(id_col) == F.col("__gone"), "left_anti")
-    if stay.count() != stay.distinct().count():  # repeated rows of one id are copies as well
-        kept = kept.dropDuplicates([id_col])
-    return kept
+    """docs without all but one row of each component of jaccard_join.
+
+    Rows are told apart by id and text, never by id alone: the row that stays is
+    that of the smallest id (null last), among texts of that id the one of smallest
+    hash, and of rows that agree in both any one.  Null and wordless texts all
+    stay, as do rows without a link, whatever rows share their id.  Columns stay.
+    """
+    joined = cut(_joined(_marked(docs, id_col, text_col), n, num, den).where("n_shingles > 0"))
+    texts = joined.groupBy("doc_id", "mark").agg(F.first("component").alias("component"), F.count(F.lit(1)).alias("times"))
+    texts = cut(texts.withColumn("key", F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")))
+    kept = texts.groupBy("component").agg(F.min("key").alias("stays"))
+    judged = cut(texts.join(kept, "component").withColumn("stays", F.col("key") == F.col("stays")).where("not stays or times > 1").select("doc_id", "mark", "stays"))
+    id_, mark, stays = (unused(docs, c) for c in ("id", "mark", "stays"))
+    judged = judged.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), F.col("stays").alias(stays))
+    same = docs[id_col].eqNullSafe(F.col(id_)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(mark))
+    found = docs.join(_maybe_broadcast(judged, judged.count()), same, "left").where(f"{stays} is null or {stays}")
+    if judged.where(stays).isEmpty():
+        return found.select(*docs.columns)
+    again = found.where(stays).dropDuplicates([id_, mark])
+    return found.where(f"{stays} is null").unionByName(again).select(*docs.columns)
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of all documents: three words, 90 of 100.  Nulls, repeats and empty tables as in jaccard_join."""
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 

@@ -46,28 +46,43 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
+#: Bytes that are hashed at once; a single longer word is one part.
+PART = 1 << 20
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document index) of every word of texts data[offsets[i]:offsets[i+1]]."""
+    """(hash, document index) of every word of texts data[offsets[i]:offsets[i+1]], in parts of bounded size."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     data, offsets = data[lo:hi], offsets - lo
-    if not len(data):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(data):
+        end = min(len(data), at + PART)
+        while end < len(data) and not _SPACE[data[end]]:  # a part ends before white space, so within no word
+            gap = np.flatnonzero(_SPACE[data[end : end + PART]])
+            end = end + int(gap[0]) if len(gap) else min(len(data), end + PART)
+        edges = offsets[np.searchsorted(offsets, at, side="right") : np.searchsorted(offsets, end)] - at
+        words, start = _part_hashes(data[at:end], edges)
+        hashes.append(words)
+        starts.append(start + at)
+        at = end
+    start = np.concatenate(starts)
+    return np.concatenate(hashes), np.searchsorted(offsets, start, side="right") - 1
+
+
+def _part_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of the words of data; edges: where new documents begin within."""
     inside = ~_SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
-    cut = offsets[(offsets > 0) & (offsets < len(data))]
-    first[cut] = inside[cut]  # a word never crosses documents
+    first[edges] = inside[edges]  # a word never crosses documents
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    if not len(start):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * _powers(_P, len(data)), out=total[1:])
         words = (total[end] - total[start]) * _powers(_P_INV, len(data))[start]
-        words = _mix(words + (end - start).astype(np.uint64))
-    return words, np.searchsorted(offsets, start, side="right") - 1
+        return _mix(words + (end - start).astype(np.uint64)), start
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
