@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and read back from reliable storage from now on."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets go of finished steps: Spark deletes their shuffle files once the driver's objects for them are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
