@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 EQUIPMENT_PREFIXES = ("TR", "CB", "DS", "CT", "PT", "VT", "GEN", "GRID", "BC")
 FEEDER_PREFIXES = ("FDR",)
 BUS_PREFIXES = ("BUS",)
+PREFIXES = EQUIPMENT_PREFIXES + FEEDER_PREFIXES + BUS_PREFIXES
 SWITCH_WORDS = ("OPEN", "CLOSED", "N/O", "N/C")
 MISREAD, MEANT = "OILSB", "01158"
 NUMBER = r"(\d+(?:\.\d+)?)"
@@ -28,38 +31,59 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(F.upper(text), r"[\s_]+", "")
 
 
-def _value(text: Column, pattern: str, unit: Column) -> Column:
-    return F.when(text.rlike(pattern), F.concat(F.regexp_extract(text, pattern, 1), F.lit(" "), unit))
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once a row, however often use names it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
+
+
+def _shape(text: Column) -> Column:
+    """What the parsers look at: the text, its number and unit by format, and prefix and suffix of an id.
+
+    The id pattern is tried only behind the cheap prefix test: it backtracks on prose.
+    """
+
+    def ids(short: Column) -> Column:
+        begins = short.startswith(PREFIXES[0])
+        for p in PREFIXES[1:]:
+            begins = begins | short.startswith(p)
+        return F.when(begins, F.struct(F.regexp_extract(short, LABEL, 1).alias("prefix"), F.regexp_extract(short, LABEL, 2).alias("suffix")))
+
+    numbers = [F.regexp_extract(text, pattern, 1).alias(k) for k, pattern in (("voltage", VOLTAGE), ("current", CURRENT), ("power", POWER))]
+    return F.struct(text.alias("raw"), *numbers, F.regexp_extract(text, POWER, 2).alias("unit"), _once(compact(text), ids).alias("id"))
+
+
+def _measure(x: Column, kind: str) -> Column:
+    """'N unit' of a shape that is a measure of a kind, else null."""
+    unit = {"voltage": F.lit("kV"), "current": F.lit("A"), "power": F.concat(F.upper(x["unit"]), F.lit("VA"))}[kind]
+    return F.when(x[kind] != "", F.concat(x[kind], F.lit(" "), unit))
+
+
+def _named(x: Column, prefixes: tuple[str, ...]) -> Column:
+    """struct(value, ambiguous) of a shape that is an id of one of the prefixes, else null."""
+    suffix = x["id"]["suffix"]
+    corrected = F.when(suffix.rlike(f"^[{MISREAD}0-9]+$"), F.translate(suffix, MISREAD, MEANT)).otherwise(suffix)
+    found = F.struct(F.concat(x["id"]["prefix"], F.lit("-"), corrected).alias("value"), suffix.rlike(f"[{MISREAD}]").alias("ambiguous"))
+    return F.when(x["id"]["prefix"].isin(*prefixes), found)
 
 
 def parse_voltage(text: Column) -> Column:
     """'N kV' of a text that is a voltage and nothing else, else null."""
-    return _value(text, VOLTAGE, F.lit("kV"))
+    return _once(_shape(text), lambda x: _measure(x, "voltage"))
 
 
 def parse_current(text: Column) -> Column:
     """'N A' of a text that is a current, else null."""
-    return _value(text, CURRENT, F.lit("A"))
+    return _once(_shape(text), lambda x: _measure(x, "current"))
 
 
 def parse_power(text: Column) -> Column:
     """'N kVA' in capitals of a text that is an apparent power, else null."""
-    return _value(text, POWER, F.concat(F.upper(F.regexp_extract(text, POWER, 2)), F.lit("VA")))
+    return _once(_shape(text), lambda x: _measure(x, "power"))
 
 
 def parse_prefixed(text: Column, prefixes: tuple[str, ...]) -> Column:
-    """struct(value, ambiguous) of an id with one of the prefixes, else null.
-
-    The pattern is tried only behind the cheap prefix test: it backtracks on prose.
-    """
-    short = compact(text)
-    begins = F.lit(False)
-    for p in prefixes:
-        begins = begins | short.startswith(p)
-    prefix, suffix = F.regexp_extract(short, LABEL, 1), F.regexp_extract(short, LABEL, 2)
-    ambiguous = suffix.rlike(f"[{MISREAD}]")
-    corrected = F.when(suffix.rlike(f"^[{MISREAD}0-9]+$"), F.translate(suffix, MISREAD, MEANT)).otherwise(suffix)
-    return F.when(begins & F.when(begins, prefix.isin(*prefixes)).otherwise(False), F.struct(F.concat(prefix, F.lit("-"), corrected).alias("value"), ambiguous.alias("ambiguous")))
+    """struct(value, ambiguous) of an id with one of the prefixes, else null."""
+    return _once(_shape(text), lambda x: _named(x, prefixes))
 
 
 def parse_feeder_id(text: Column) -> Column:
@@ -85,40 +109,43 @@ def _normal(value: Column, confidence, review, evidence) -> Column:
     return F.struct(value.alias("normalized_text"), as_column(confidence).alias("confidence"), as_column(review).alias("requires_review"), as_column(evidence).alias("evidence"))
 
 
+def _id_normal(kind: str, found: Column) -> Column:
+    unsure = found["ambiguous"]
+    note = F.when(unsure, F.lit(f"{kind} syntax; ambiguous character candidate")).otherwise(F.lit(f"{kind} syntax"))
+    return _normal(found["value"], F.when(unsure, 0.62).otherwise(0.98), unsure, note)
+
+
 def normalize(text: Column) -> Column:
     """struct(normalized_text, confidence, requires_review, evidence); null for a null text.
 
     The first parser that accepts the text wins: voltage, current, power, feeder, bus, equipment.
     """
-    raw = stripped(text)
-    chain = F.when(raw.isNull(), F.lit(None))
-    for parse, name in ((parse_voltage, "voltage"), (parse_current, "current"), (parse_power, "power")):
-        value = parse(raw)
-        chain = chain.when(value.isNotNull(), _normal(value, 1.0, False, f"{name} format"))
-    for parse, name in ((parse_feeder_id, "feeder"), (parse_bus_id, "bus"), (parse_equipment_id, "equipment")):
-        found = parse(raw)
-        unsure = found["ambiguous"]
-        note = F.when(unsure, F.lit(f"{name} syntax; ambiguous character candidate")).otherwise(F.lit(f"{name} syntax"))
-        chain = chain.when(found.isNotNull(), _normal(found["value"], F.when(unsure, 0.62).otherwise(0.98), unsure, note))
-    return chain.otherwise(_normal(raw, 1.0, False, "raw text retained"))
+
+    def parse(x: Column) -> Column:
+        chain = F.when(x["raw"].isNull(), F.lit(None))
+        for kind in ("voltage", "current", "power"):
+            chain = chain.when(x[kind] != "", _normal(_measure(x, kind), 1.0, False, f"{kind} format"))
+        for prefixes, kind in ((FEEDER_PREFIXES, "feeder"), (BUS_PREFIXES, "bus"), (EQUIPMENT_PREFIXES, "equipment")):
+            chain = chain.when(x["id"]["prefix"].isin(*prefixes), _once(_named(x, prefixes), partial(_id_normal, kind)))
+        return chain.otherwise(_normal(x["raw"], 1.0, False, "raw text retained"))
+
+    return _once(_shape(stripped(text)), parse)
 
 
 def classify(text: Column) -> Column:
     """struct(text_type, confidence, evidence) of a label; unknown with 0.0 where no rule holds."""
-    rules = (
-        (parse_voltage, "voltage", 0.99, "voltage parser"),
-        (parse_current, "current_rating", 0.99, "current parser"),
-        (parse_power, "power_rating", 0.99, "power parser"),
-        (parse_feeder_id, "feeder_id", 0.99, "feeder prefix"),
-        (parse_bus_id, "bus_id", 0.99, "bus prefix"),
-        (parse_equipment_id, "equipment_id", 0.98, "equipment prefix"),
-        (parse_switch_state, "switch_state", 0.99, "switch-state lexicon"),
-    )
     result = lambda kind, confidence, evidence: F.struct(F.lit(kind).alias("text_type"), F.lit(confidence).alias("confidence"), F.lit(evidence).alias("evidence"))
-    chain = F.when(text.isNull(), result("unknown", 0.0, "no text"))
-    for parse, kind, confidence, evidence in rules:
-        chain = chain.when(parse(text).isNotNull(), result(kind, confidence, evidence))
-    return chain.otherwise(result("unknown", 0.0, "no conservative semantic rule"))
+
+    def chosen(x: Column) -> Column:
+        chain = F.when(x["raw"].isNull(), result("unknown", 0.0, "no text"))
+        for kind, name, evidence in (("voltage", "voltage", "voltage parser"), ("current", "current_rating", "current parser"), ("power", "power_rating", "power parser")):
+            chain = chain.when(x[kind] != "", result(name, 0.99, evidence))
+        for prefixes, name, confidence, evidence in ((FEEDER_PREFIXES, "feeder_id", 0.99, "feeder prefix"), (BUS_PREFIXES, "bus_id", 0.99, "bus prefix"), (EQUIPMENT_PREFIXES, "equipment_id", 0.98, "equipment prefix")):
+            chain = chain.when(x["id"]["prefix"].isin(*prefixes), result(name, confidence, evidence))
+        chain = chain.when(F.upper(stripped(x["raw"])).isin(*SWITCH_WORDS), result("switch_state", 0.99, "switch-state lexicon"))
+        return chain.otherwise(result("unknown", 0.0, "no conservative semantic rule"))
+
+    return _once(_shape(text), chosen)
 
 
 def canonical(text: Column) -> Column:

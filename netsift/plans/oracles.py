@@ -21,10 +21,11 @@ SELECT graph_id, feeder, CASE WHEN NOT ({blocked}) THEN r END AS source, CASE WH
 
 #: derived.net2: pairs (part, supplier), and every region's steps to every part, at distance 3 or 5.
 _NET2 = """
-sp AS (SELECT DISTINCT 'S' || l_suppkey AS s, 'P' || l_partkey AS p FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 45),
+sp AS (SELECT DISTINCT 'S' || l_suppkey AS s, 'P' || l_partkey AS p FROM lineitem),
 up AS (SELECT 'S' || s_suppkey AS s, 'N' || n_nationkey AS n, 'R' || n_regionkey AS r, s_acctbal >= 5000 AS closed, s_acctbal < 2000 AS poor FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 near AS (SELECT sp.p, up.* FROM sp JOIN up USING (s)),
-far AS (SELECT DISTINCT a.p, u.r FROM sp a JOIN sp b ON a.s = b.s AND a.p <> b.p JOIN sp c ON c.p = b.p AND c.s <> a.s JOIN up u ON u.s = c.s),
+beside AS (SELECT DISTINCT a.s, u.r FROM sp a JOIN sp b ON a.p = b.p AND a.s <> b.s JOIN up u ON u.s = b.s),
+far AS (SELECT DISTINCT sp.p, beside.r FROM sp JOIN beside USING (s)),
 steps AS (SELECT p, r, min(d) AS d FROM (SELECT p, r, 3 AS d FROM near UNION ALL SELECT p, r, 5 FROM far) GROUP BY p, r)"""
 
 _NUM = r"(\d+(?:\.\d+)?)"
@@ -67,7 +68,7 @@ SELECT r.g AS {alias}, r.id FROM done d JOIN ranked r USING (g, k)"""
 _ORDERS = """
 eq AS (SELECT 'C' || c_custkey AS id, c_custkey AS ord, substr(c_mktsegment, 1, 4) || c_nationkey AS label, ['feeder','circuit_breaker','disconnector','bus_coupler','power_transformer','load'][c_custkey % 6 + 1] AS type FROM customer),
 co AS (SELECT 'O' || o_orderkey AS id, o_orderkey AS ord, 'C' || o_custkey AS a, CASE WHEN o_orderkey % 50 = 0 THEN 'nobody' WHEN o_orderkey % 77 = 0 THEN 'C' || o_custkey ELSE 'C' || (o_custkey + o_orderkey % 3 + 1) END AS b
-       FROM orders WHERE o_orderkey % 4 = 0),
+       FROM orders),
 ends AS (SELECT co.id, co.ord, l.id AS l, r.id AS r FROM co LEFT JOIN eq l ON l.id = co.a LEFT JOIN eq r ON r.id = co.b),
 types AS (SELECT e.*, tl.type AS lt, tr.type AS rt FROM ends e JOIN eq tl ON tl.id = e.l JOIN eq tr ON tr.id = e.r),
 adj AS (SELECT l AS node, r AS nbr FROM types WHERE l <> r UNION SELECT r, l FROM types WHERE l <> r),
@@ -131,7 +132,7 @@ SELECT 'net:' || g AS graph_id, id AS connection_id, feeders::INTEGER AS feeders
   CASE WHEN risk >= 0.36 THEN 'CRITICAL' WHEN risk >= 0.18 THEN 'HIGH' WHEN risk >= 0.06 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM scored""",
     "degree": f"WITH {_ORDERS} SELECT id AS node, degree FROM deg",
     "strongest_edge": """WITH c AS (SELECT l_linenumber AS page, l_orderkey || '-' || l_linenumber AS id, 'x' || l_suppkey AS a, 'x' || (l_partkey % 100) AS b, l_discount AS conf FROM lineitem),
-r AS (SELECT page, id, row_number() OVER (PARTITION BY page, least(a, b), greatest(a, b) ORDER BY conf DESC, id)::INTEGER AS rank FROM c) SELECT * FROM r WHERE rank <= 2""",
+r AS (SELECT page, id, row_number() OVER (PARTITION BY page, least(a, b), greatest(a, b) ORDER BY conf DESC, id)::INTEGER AS rank FROM c) SELECT * FROM r""",
     "text_normalize": f"""WITH {_PARSED} SELECT id, normalized_text, CASE WHEN is_id AND unsure THEN 0.62 WHEN is_id THEN 0.98 ELSE 1.0 END::DOUBLE AS confidence, is_id AND unsure AS requires_review,
 CASE WHEN is_id THEN replace(kind, '_id', '') || ' syntax' || CASE WHEN unsure THEN '; ambiguous character candidate' ELSE '' END
      WHEN kind = 'voltage' THEN 'voltage format' WHEN kind = 'current_rating' THEN 'current format' WHEN kind = 'power_rating' THEN 'power format' ELSE 'raw text retained' END AS evidence FROM normal""",

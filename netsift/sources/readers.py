@@ -30,9 +30,11 @@ def table(spark: SparkSession, root: str, name: str, run: str | None = None) ->
 def uploads(spark: SparkSession, path: str) -> DataFrame:
     """(path, suffix, size_bytes, sha256, content, refused) of files; refused says why one is not taken."""
     files = spark.read.format("binaryFile").load(path)
+    # content of files that are refused by name or length is never looked at, and not handed on
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    fits = suffix.isin(*SUFFIXES) & F.col("length").between(1, LARGEST)
     why = F.when(~suffix.isin(*SUFFIXES), "unsupported type").when(F.col("length") > LARGEST, "too large").when(F.col("length") == 0, "empty").when(~_magic(suffix), "unreadable")
-    return files.select("path", suffix.alias("suffix"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content", why.alias("refused"))
+    return files.select("path", suffix.alias("suffix"), F.col("length").alias("size_bytes"), F.when(fits, F.sha2("content", 256)).alias("sha256"), F.when(fits, F.col("content")).alias("content"), why.alias("refused"))
 
 
 def _magic(suffix: Column) -> Column:
@@ -41,9 +43,9 @@ def _magic(suffix: Column) -> Column:
 
 
 def inspect(files: DataFrame) -> DataFrame:
-    """(path, input_type, page_count, width, height, text_count, vector_count, image_count, recommended_pipeline).
+    """(path, input_type, page_count, width, height, text_count, vector_count, image_count, recommended_pipeline) of files that were not refused.
 
-    PNG and JPEG sizes come from their headers.  A PDF is looked at as bytes:
+    PNG and JPEG sizes come from their headers; a broken header has none.  A PDF is looked at as bytes:
     pages, text and path operators of streams that zlib can open, and images.
     """
     columns = "path string, page_count int, width int, height int, text_count int, vector_count int, image_count int"
@@ -52,6 +54,8 @@ def inspect(files: DataFrame) -> DataFrame:
         for part in parts:
             yield pd.DataFrame([(p, *_measure(s, bytes(c))) for p, s, c in zip(part["path"], part["suffix"], part["content"], strict=True)], columns=["path", "page_count", "width", "height", "text_count", "vector_count", "image_count"])
 
+    if "refused" in files.columns:
+        files = files.where("refused is null")
     found = files.select("path", "suffix", "content").mapInPandas(run, columns).join(files.select("path", "suffix"), "path")
     pdf = F.col("suffix") == "pdf"
     kind = F.when(~pdf & F.col("suffix").isin(*SUFFIXES), "raster_image").when(~pdf, "unknown").when((F.col("vector_count") > 0) & (F.col("image_count") > 0), "hybrid_pdf").when(F.col("vector_count") > 0, "vector_pdf").otherwise("raster_pdf")
@@ -65,7 +69,7 @@ def _measure(suffix: str, data: bytes) -> tuple:
     import zlib
 
     if suffix == "png":
-        w, h = struct.unpack(">II", data[16:24])
+        w, h = struct.unpack(">II", data[16:24]) if len(data) >= 24 else (None, None)
         return 1, w, h, 0, 0, 1
     if suffix in ("jpg", "jpeg"):
         at = 2
@@ -74,7 +78,7 @@ def _measure(suffix: str, data: bytes) -> tuple:
             if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
                 h, w = struct.unpack(">HH", data[at + 5 : at + 9])
                 return 1, w, h, 0, 0, 1
-            at += 2 + size
+            at += 2 + max(2, size)
         return 1, None, None, 0, 0, 1
     if suffix != "pdf":
         return 0, None, None, 0, 0, 0
