@@ -101,23 +101,36 @@ def component_counts(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy(*SCOPE).agg(F.count_distinct("component").alias("components"))
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, nearest: int | None = None, max_rounds: int = 100_000) -> DataFrame:
     """(graph_id, variant_id, source, node, path) of every node that a start reaches, itself included.
 
     starts: (graph_id, variant_id, source).  path runs from source to node; of the
     shortest ones it is the smallest in the order of its node ids.
+    nearest: only so many sources of each node, nearest first, ties to the smaller
+    one.  A source among the nearest of a node is among those of every node on its way
+    there, so a search holds that many rows a node, however many sources there are.
     """
+    if nearest is not None and (starts.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head()["n"] or 0) <= nearest:
+        nearest = None
     near = cut(adjacency(edges))
     key = [*SCOPE, "source", "node"]
     level = cut(starts.select(*SCOPE, "source", F.col("source").alias("node"), F.array("source").alias("path")).distinct())
     before, found = None, [level]
+    reached = None if nearest is None else cut(level.groupBy(*SCOPE, "node").agg(F.count(F.lit(1)).alias("had")))
     for _ in range(max_rounds):
         step = level.join(near, [*SCOPE, "node"]).select(*SCOPE, "source", F.col("nbr").alias("node"), F.concat("path", F.array("nbr")).alias("path"))
         step = step.groupBy(*key).agg(F.min("path").alias("path"))
         known = level.select(*key) if before is None else level.select(*key).unionByName(before.select(*key))
-        step = cut(step.join(known, key, "left_anti"))
+        step = step.join(known, key, "left_anti")
+        if reached is not None:
+            turn = F.row_number().over(Window.partitionBy(*SCOPE, "node").orderBy("source"))
+            step = step.withColumn("turn", turn).join(reached, [*SCOPE, "node"], "left").where(F.coalesce("had", F.lit(0)) + F.col("turn") <= nearest).drop("turn", "had")
+        step = cut(step)
         if step.isEmpty():
             return reduce(DataFrame.unionByName, found)
+        if reached is not None:
+            more = step.groupBy(*SCOPE, "node").agg(F.count(F.lit(1)).alias("had"))
+            reached = cut(reached.unionByName(more).groupBy(*SCOPE, "node").agg(F.sum("had").alias("had")))
         before, level = level, step
         found.append(step)
     raise RuntimeError("shortest_paths did not end")
@@ -165,7 +178,7 @@ def feeder_paths(equipment: DataFrame, edges: DataFrame, sources: DataFrame, var
     """
     variants = base_variant(equipment) if variants is None else variants
     feeders = equipment.where("type = 'feeder'").select("graph_id", F.col("id").alias("feeder")).join(variants, "graph_id")
-    reached = shortest_paths(edges, sources.select("graph_id", F.col("equipment_id").alias("source")).join(variants, "graph_id"))
+    reached = shortest_paths(edges, sources.select("graph_id", F.col("equipment_id").alias("source")).join(variants, "graph_id"), 1 + max_alternates)
     ends = reached.join(feeders.withColumnRenamed("feeder", "node"), [*SCOPE, "node"]).withColumnRenamed("node", "feeder")
     order = Window.partitionBy(*SCOPE, "feeder").orderBy(F.size("path"), "source")
     ranked = ends.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 1 + max_alternates)
@@ -281,7 +294,7 @@ def priority(score: Column) -> Column:
     return F.when(score >= 0.36, "CRITICAL").when(score >= 0.18, "HIGH").when(score >= 0.06, "MEDIUM").otherwise("LOW")
 
 
-def _sources_without(edges: DataFrame, sources: DataFrame, tasks: DataFrame) -> DataFrame:
+def _sources_without(edges: DataFrame, sources: DataFrame, tasks: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """(graph_id, connection_id, feeder, source): the nearest source once a pair is gone; null if none is reached.
 
     tasks: (graph_id, connection_id, feeder, gone_u, gone_v).  Each searches outwards from its feeder.
@@ -291,7 +304,7 @@ def _sources_without(edges: DataFrame, sources: DataFrame, tasks: DataFrame) ->
     key = ["graph_id", "connection_id", "feeder"]
     level = cut(tasks.withColumn("node", F.col("feeder")))
     before, found = None, []
-    while True:
+    for _ in range(max_rounds):
         step = level.join(near, ["graph_id", "node"]).where((F.least("node", "nbr") != F.col("gone_u")) | (F.greatest("node", "nbr") != F.col("gone_v")))
         step = step.select(*key, "gone_u", "gone_v", F.col("nbr").alias("node")).distinct()
         known = level.select(*key, "node") if before is None else level.select(*key, "node").unionByName(before.select(*key, "node"))

@@ -2,20 +2,26 @@
 
 A join by distance is an equi-join on grid cells as wide as the largest radius,
 the probing side repeated over the nine cells around it, and then the exact
-test.  Greedy selections fold the ordered boxes of one group; groups are pages,
-classes or labels of a page, bounded by what a page holds.
+test.  Boxes meet in the grid cells that they cover, each pair in one of them.
+Greedy selections and matches run in rounds over the pairs that overlap: what no
+better undecided box disputes is decided, whatever the size of a group.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.functions.geometry import entity_association, iou, point, project_on_segment, snap_radius, symbol_association, terminal_points
 from netsift.functions.text import expected_classes
+from netsift.plans.lineage import cut
 
 #: Score from which an association holds, and the widest snap radius.
 ASSOCIATED, WIDEST = 0.55, 0.07
+#: Side of the grid cells in which boxes in page coordinates (0 to 1) meet.
+CELL = 0.125
 
 
 def _cells(df: DataFrame, x: Column, y: Column, width: float, around: bool) -> DataFrame:
@@ -35,6 +41,33 @@ def near_points(left: DataFrame, right: DataFrame, keys: list[str], radius: floa
     return a.join(b, [*keys, "cx", "cy"]).drop("cx", "cy").withColumn("gap", gap).where(F.col("gap") <= radius)
 
 
+def box_around(a: Column, b: Column, margin: float = 0.0) -> Column:
+    """The box of two points, wider by a margin on each side."""
+    low = lambda k: F.least(a[k], b[k]) - margin
+    high = lambda k: F.greatest(a[k], b[k]) + margin
+    return F.struct(low("x").alias("x1"), low("y").alias("y1"), high("x").alias("x2"), high("y").alias("y2"))
+
+
+def meeting(left: DataFrame, right: DataFrame, keys: list[str], left_box: str, right_box: str, cell: float = CELL) -> DataFrame:
+    """All pairs (left.*, right.*) of equal keys whose boxes touch, each once; boxes hold no null.
+
+    A box goes to the cells it covers; a pair counts in the cell of the corner where
+    its common part begins.
+    """
+    at = lambda c: F.floor(c / cell).cast("long")
+
+    def spread(df: DataFrame, box: str) -> DataFrame:
+        b = F.col(box)
+        df = df.where(b["x1"].isNotNull() & b["y1"].isNotNull() & (b["x2"] >= b["x1"]) & (b["y2"] >= b["y1"]))
+        return df.withColumn("cx", F.explode(F.sequence(at(b["x1"]), at(b["x2"])))).withColumn("cy", F.explode(F.sequence(at(b["y1"]), at(b["y2"]))))
+
+    a, b = F.col(left_box), F.col(right_box)
+    begin = {k: F.greatest(a[k], b[k]) for k in ("x1", "y1")}
+    touch = (begin["x1"] <= F.least(a["x2"], b["x2"])) & (begin["y1"] <= F.least(a["y2"], b["y2"]))
+    pairs = spread(left, left_box).join(spread(right, right_box), [*keys, "cx", "cy"])
+    return pairs.where(touch & (at(begin["x1"]) == F.col("cx")) & (at(begin["y1"]) == F.col("cy"))).drop("cx", "cy")
+
+
 def nearest_points(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, k: int, radius: float) -> DataFrame:
     """The k nearest right points within radius of each left point, ties to the smaller right id."""
     order = Window.partitionBy(*keys, left_id).orderBy("gap", right_id)
@@ -97,35 +130,43 @@ def snap_segments(segments: DataFrame, terminals: DataFrame, symbols: DataFrame)
     t = reach(terminals, symbols).select("analysis_run_id", "page", F.col("id").alias("terminal_id"), "symbol_id", "x", "y", "radius")
     line = F.col("polyline")
     on = project_on_segment(point(F.col("x"), F.col("y")), F.get(line, 0), F.element_at(line, -1))
-    near = segments.join(t, ["analysis_run_id", "page"]).withColumn("on", on).where("on.distance <= radius")
+    spans = segments.withColumn("span", box_around(F.get(line, 0), F.element_at(line, -1), WIDEST))
+    t = t.withColumn("spot", F.struct(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2")))
+    near = meeting(spans, t, ["analysis_run_id", "page"], "span", "spot").withColumn("on", on).where("on.distance <= radius")
     best = near.groupBy("analysis_run_id", "page", "id").agg(F.min_by(F.struct("terminal_id", "symbol_id", "on"), F.struct("on.distance", "terminal_id")).alias("b"))
     return segments.join(best, ["analysis_run_id", "page", "id"], "left").select(*segments.columns, "b.*")
 
 
-def _kept(rows: Column, clash) -> Column:
-    """Those of an ordered array that clash with none kept before."""
-    start = F.filter(rows, lambda x: F.lit(False))
-    return F.aggregate(rows, start, lambda kept, x: F.when(F.exists(kept, lambda o: clash(o, x)), kept).otherwise(F.array_append(kept, x)))
-
-
 def suppress(boxes: DataFrame, keys: list[str], id_col: str = "id", threshold: float = 0.45, order: Column | None = None) -> DataFrame:
     """boxes (keys, id, confidence, bbox) without those that overlap a better one of the same keys.
 
     keys with the class make it class-aware, without it class-agnostic; with the
     normalised text they merge regions.  Best first by confidence, ties by id;
-    order: another ascending order, as that of arrival.
+    order: another ascending order, as that of arrival.  In each round the boxes
+    that no better one disputes stay, and those that they overlap go.
     """
     rank = F.struct(-F.col("confidence"), F.col(id_col)) if order is None else F.struct(order, F.col(id_col))
-    one = F.struct(rank.alias("rank"), F.col(id_col).alias("id"), F.col("bbox").alias("bbox"))
-    held = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("all"))
-    kept = held.select(*keys, F.explode(_kept(F.col("all"), lambda o, x: iou(o["bbox"], x["bbox"]) >= threshold)).alias("k")).select(*keys, F.col("k.id").alias(id_col))
-    return boxes.join(kept, [*keys, id_col], "left_semi")
+    ranks = boxes.select(*keys, F.col(id_col).alias("id"), rank.alias("rank"))
+    pairs = overlapping_pairs(boxes, keys, threshold, id_col)
+    side = lambda n: ranks.select(*keys, F.col("id").alias(n), F.col("rank").alias(f"{n}_rank"))
+    first = F.col("a_rank") < F.col("b_rank")
+    pairs = pairs.join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"])
+    open_ = cut(pairs.select(*keys, F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse")))
+    gone = []
+    while not open_.isEmpty():
+        disputed = open_.select(*keys, F.col("worse").alias("better"))
+        out = cut(open_.join(disputed, [*keys, "better"], "left_anti").select(*keys, "worse").distinct())
+        gone.append(out)
+        open_ = cut(open_.join(out, [*keys, "worse"], "left_anti").join(out.withColumnRenamed("worse", "better"), [*keys, "better"], "left_anti"))
+    if not gone:
+        return boxes
+    return boxes.join(reduce(DataFrame.unionByName, gone).withColumnRenamed("worse", id_col), [*keys, id_col], "left_anti")
 
 
 def overlapping_pairs(boxes: DataFrame, keys: list[str], threshold: float, id_col: str = "id") -> DataFrame:
-    """(keys, a, b, iou) of all pairs of equal keys with at least the threshold of overlap."""
+    """(keys, a, b, iou) of all pairs of equal keys with at least the threshold, above 0, of overlap."""
     side = lambda n: boxes.select(*keys, F.col(id_col).alias(n), F.col("bbox").alias(f"{n}_box"))
-    pairs = side("a").join(side("b"), keys).where("a < b").withColumn("iou", iou(F.col("a_box"), F.col("b_box")))
+    pairs = meeting(side("a"), side("b"), keys, "a_box", "b_box").where("a < b").withColumn("iou", iou(F.col("a_box"), F.col("b_box")))
     return pairs.where(F.col("iou") >= threshold).select(*keys, "a", "b", "iou")
 
 
@@ -133,27 +174,26 @@ def match_detections(detections: DataFrame, truth: DataFrame, keys: list[str], t
     """(keys, detection_id, truth_id): greedy one-to-one matches of equal keys, best detections first.
 
     detections: (keys, detection_id, confidence, bbox); truth: (keys, truth_id, bbox).
-    A detection takes the unused truth box it overlaps most, if by the threshold.
+    A detection takes the unused truth box it overlaps most, if by the threshold;
+    ties go to the smaller id.  In each round a detection and a truth box that are
+    each other's first choice match.
     """
-    d = detections.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "detection_id", "bbox"))).alias("ds"))
-    t = truth.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("truth_id", "bbox"))).alias("ts"))
-
-    def step(state: Column, x: Column) -> Column:
-        free = F.filter(state["free"], lambda y: iou(x["bbox"], y["bbox"]) >= threshold)
-        pick = F.aggregate(free, F.struct(F.lit(-1.0).alias("v"), F.lit(None).cast(truth.schema["truth_id"].dataType).alias("id")), lambda m, y: F.when(iou(x["bbox"], y["bbox"]) > m["v"], F.struct(iou(x["bbox"], y["bbox"]).alias("v"), y["truth_id"].alias("id"))).otherwise(m))
-        return F.struct(
-            F.filter(state["free"], lambda y: pick["id"].isNull() | (y["truth_id"] != pick["id"])).alias("free"),
-            F.when(pick["id"].isNull(), state["found"]).otherwise(F.array_append(state["found"], F.struct(x["detection_id"].alias("detection_id"), pick["id"].alias("truth_id")))).alias("found"),
-        )
-
-    empty = F.transform(F.filter("ds", lambda x: F.lit(False)), lambda x: F.struct(x["detection_id"].alias("detection_id"), F.lit(None).cast(truth.schema["truth_id"].dataType).alias("truth_id")))
-    folded = d.join(t, keys).select(*keys, F.explode(F.aggregate("ds", F.struct(F.col("ts").alias("free"), empty.alias("found")), step, lambda s: s["found"])).alias("m"))
-    return folded.select(*keys, "m.*")
+    d = detections.select(*keys, "detection_id", F.struct(-F.col("confidence"), F.col("detection_id")).alias("turn"), F.col("bbox").alias("d_box"))
+    pairs = meeting(d, truth.select(*keys, "truth_id", F.col("bbox").alias("t_box")), keys, "d_box", "t_box").withColumn("iou", iou(F.col("d_box"), F.col("t_box")))
+    open_ = cut(pairs.where(F.col("iou") >= threshold).select(*keys, "detection_id", "turn", "truth_id", "iou"))
+    found = []
+    while not open_.isEmpty():
+        wants = open_.groupBy(*keys, "detection_id").agg(F.min_by("truth_id", F.struct(-F.col("iou"), F.col("truth_id"))).alias("truth_id"))
+        first = open_.groupBy(*keys, "truth_id").agg(F.min_by("detection_id", "turn").alias("detection_id"))
+        match = cut(wants.join(first, [*keys, "detection_id", "truth_id"]).select(*keys, "detection_id", "truth_id"))
+        found.append(match)
+        open_ = cut(open_.join(match.select(*keys, "detection_id"), [*keys, "detection_id"], "left_anti").join(match.select(*keys, "truth_id"), [*keys, "truth_id"], "left_anti"))
+    return reduce(DataFrame.unionByName, found) if found else open_.select(*keys, "detection_id", "truth_id")
 
 
 def map_to_truth(symbols: DataFrame, truth: DataFrame, keys: list[str], threshold: float = 0.25) -> DataFrame:
     """(keys, symbol_id, truth_id): the truth box of equal keys that each symbol overlaps most; several may share one."""
-    pairs = symbols.select(*keys, "symbol_id", F.col("bbox").alias("sb")).join(truth.select(*keys, "truth_id", F.col("bbox").alias("tb")), keys).withColumn("iou", iou(F.col("sb"), F.col("tb")))
+    pairs = meeting(symbols.select(*keys, "symbol_id", F.col("bbox").alias("sb")), truth.select(*keys, "truth_id", F.col("bbox").alias("tb")), keys, "sb", "tb").withColumn("iou", iou(F.col("sb"), F.col("tb")))
     best = pairs.groupBy(*keys, "symbol_id").agg(F.min_by(F.struct("truth_id", "iou"), F.struct(-F.col("iou"), "truth_id")).alias("b"))
     return best.where(F.col("b.iou") >= threshold).select(*keys, "symbol_id", F.col("b.truth_id").alias("truth_id"))
 
@@ -227,5 +267,3 @@ def longest_run(rows: DataFrame, keys: list[str], order: str, flag: str) -> Data
     runs = rows.withColumn("pos", pos).withColumn("island", F.col("pos") - island)
     per_run = runs.groupBy(*keys, flag, "island").agg(F.count(F.lit(1)).alias("len"))
     return per_run.groupBy(*keys).agg(F.sum("len").alias("n"), F.coalesce(F.sum(F.when(F.col(flag), F.col("len"))), F.lit(0)).alias("supported"), F.coalesce(F.max(F.when(F.col(flag), F.col("len"))), F.lit(0)).alias("longest"))
-
-

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from netsift.functions.evidence import equipment_type, or_default, review_status
 from netsift.functions.geometry import candidate_scores, distance, is_tee, line_intersection, point, project_on_segment, segment_gap
 from netsift.operators.components import connected_components
-from netsift.operators.spatial import near_points, reach, snap_points
+from netsift.operators.spatial import WIDEST, box_around, meeting, near_points, reach, snap_points
 
 RUN = ["analysis_run_id", "page"]
+#: How far outside a segment an intersection may lie, and more than that.
+OUTSIDE = 0.004
 
 
 def _ends(conductors: DataFrame) -> DataFrame:
@@ -52,7 +54,8 @@ def endpoint_candidates(conductors: DataFrame, terminals: DataFrame, symbols: Da
 def conductor_groups(conductors: DataFrame, reach_: float = 0.012) -> DataFrame:
     """(run, page, id, grp): traces that touch end to span; crossings in the middle do not join."""
     side = lambda n: _ends(conductors).select(*RUN, F.col("id").alias(f"{n}_id"), F.col("s").alias(f"{n}_s"), F.col("e").alias(f"{n}_e"))
-    touch = side("a").join(side("b"), RUN).where("a_id < b_id").where(segment_gap(F.col("a_s"), F.col("a_e"), F.col("b_s"), F.col("b_e")) <= reach_)
+    spans = lambda n, margin: side(n).withColumn(f"{n}_span", box_around(F.col(f"{n}_s"), F.col(f"{n}_e"), margin))
+    touch = meeting(spans("a", reach_), spans("b", 0.0), RUN, "a_span", "b_span").where("a_id < b_id").where(segment_gap(F.col("a_s"), F.col("a_e"), F.col("b_s"), F.col("b_e")) <= reach_)
     key = lambda c: F.struct(*RUN, F.col(c).alias("id"))
     found = connected_components(touch.select(key("a_id").alias("src"), key("b_id").alias("dst"))).select("node.*", F.col("component.id").alias("grp"))
     return conductors.select(*RUN, "id").join(found, [*RUN, "id"], "left").withColumn("grp", F.coalesce("grp", "id"))
@@ -65,7 +68,9 @@ def group_candidates(conductors: DataFrame, terminals: DataFrame, symbols: DataF
     lines = _ends(conductors).join(groups, [*RUN, "id"])
     sure = lines.groupBy(*RUN, "grp").agg(F.min("confidence").alias("confidence"))
     on = project_on_segment(F.col("at"), F.col("s"), F.col("e"))
-    near = lines.select(*RUN, "grp", "id", "s", "e").join(t, RUN).withColumn("on", on).where("on.distance <= radius")
+    lines = lines.select(*RUN, "grp", "id", box_around(F.col("s"), F.col("e"), WIDEST).alias("span"), "s", "e")
+    t = t.withColumn("spot", F.struct(F.col("at.x").alias("x1"), F.col("at.y").alias("y1"), F.col("at.x").alias("x2"), F.col("at.y").alias("y2")))
+    near = meeting(lines, t, RUN, "span", "spot").withColumn("on", on).where("on.distance <= radius")
     att = near.groupBy(*RUN, "grp", "symbol_id", "symbol_class").agg(F.min_by(F.struct("terminal_id", F.struct("on.x", "on.y").alias("p"), F.col("on.distance").alias("gap"), "radius"), F.struct("on.distance", "terminal_id", "id")).alias("a"))
     att = att.select(*RUN, "grp", "symbol_id", "symbol_class", "a.*")
     over = Window.partitionBy(*RUN, "grp")
@@ -139,7 +144,8 @@ def crossings(conductors: DataFrame, junctions: DataFrame, near_dot: float = 0.0
     """
     side = lambda n: _ends(conductors).select(*RUN, F.col("id").alias(f"{n}_id"), F.col("s").alias(f"{n}_s"), F.col("e").alias(f"{n}_e"))
     four = [F.col(f"{n}_{w}") for n in ("a", "b") for w in ("s", "e")]
-    met = side("a").join(side("b"), RUN).where("a_id < b_id").withColumn("p", line_intersection(*four)).where("p is not null")
+    spans = lambda n: side(n).withColumn(f"{n}_span", box_around(F.col(f"{n}_s"), F.col(f"{n}_e"), OUTSIDE))
+    met = meeting(spans("a"), spans("b"), RUN, "a_span", "b_span").where("a_id < b_id").withColumn("p", line_intersection(*four)).where("p is not null")
     dots = junctions.groupBy(*RUN).agg(F.collect_list(F.struct("x", "y")).alias("dots"))
     clear = met.join(dots, RUN, "left").where(~F.coalesce(F.exists("dots", lambda d: distance(F.col("p"), d) < near_dot), F.lit(False)))
     one = F.struct("a_id", "b_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"), is_tee(F.col("p"), *four).alias("tee"))
