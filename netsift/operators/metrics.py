@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netsift.functions.text import rating_components
+from netsift.operators.components import connected_components
+
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     """a / b, and empty where b is 0."""
@@ -164,3 +167,67 @@ def missed_reasons(missed: DataFrame) -> DataFrame:
         .when(F.coalesce(F.col("gap"), F.lit(float("inf"))) > F.col("radius"), "TERMINAL_SNAP_DISTANCE_FAILURE").when(F.col("touches_bus"), "BUS_ATTACHMENT_FAILURE").otherwise("CONDUCTOR_FRAGMENTED")
     )
     return missed.withColumn("reason", reason)
+
+
+def counted(rows: DataFrame, column: str) -> DataFrame:
+    """(column, n): how often each value, or each element of an array, occurs."""
+    value = F.explode(column) if rows.schema[column].dataType.typeName() == "array" else F.col(column)
+    return rows.select(value.alias(column)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def mean_runtime(rows: DataFrame, keys: list[str], runtime: str, digits: int = 4) -> DataFrame:
+    """(keys, mean_runtime, n)."""
+    return rows.groupBy(*keys).agg(F.round(F.avg(runtime), digits).alias("mean_runtime"), F.count(F.lit(1)).alias("n"))
+
+
+def edges_within(edges: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """edges (keys, u, v) both of whose ends are members (keys, node) of the same keys."""
+    out = edges
+    for end in ("u", "v"):
+        out = out.join(members.select(*keys, F.col("node").alias(end)).distinct(), [*keys, end], "left_semi")
+    return out.select(edges.columns)
+
+
+def rating_matches(expected: DataFrame, observed: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """(keys, semantic_type, eligible, exact, value): rating components of labels, each matched as often as it was read.
+
+    expected, observed: (keys, id, label).  Components count as a multiset in each label.
+    """
+    parts = lambda df: df.select(*keys, id_col, F.explode(rating_components(F.col("label"))).alias("c")).groupBy(*keys, id_col, "c.semantic_type", "c.value").agg(F.count(F.lit(1)).alias("n"))
+    both = parts(expected).join(parts(observed).withColumnRenamed("n", "m"), [*keys, id_col, "semantic_type", "value"], "left")
+    rows = both.groupBy(*keys, "semantic_type").agg(F.sum("n").alias("eligible"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("exact"))
+    return rows.withColumn("value", F.round(ratio(F.col("exact"), F.col("eligible"), None), 4))
+
+
+def semantic_scores(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, recognised, semantic_accuracy, tp, fp, fn, precision, recall, f1) of exactly recognised labels alone.
+
+    rows: (keys, exact, expected_type, observed_type, expected_entity, observed_entity).
+    """
+    hit = F.count_if(F.col("observed_entity") == F.col("expected_entity"))
+    got, want = F.count("observed_entity"), F.count("expected_entity")
+    out = rows.where("exact").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("recognised"), F.round(ratio(F.count_if(F.col("observed_type") == F.col("expected_type")), F.count(F.lit(1)), None), 4).alias("semantic_accuracy"),
+        hit.alias("tp"), (got - hit).alias("fp"), (want - hit).alias("fn"),
+    )
+    return out.withColumns(f_scores(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def topology_scores(truth: DataFrame, predicted: DataFrame, candidates: DataFrame, critical: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a drawing: pair_scores, candidate_recall, critical_edge_recall, reachability and whether components are the same.
+
+    All but nodes (keys, node) are sets of pairs (keys, u, v); of critical pairs those that are true count.
+    """
+    name = lambda df: _components_of(df, nodes, keys)
+    real, guess = name(truth), name(predicted)
+    rows = pair_scores(truth, predicted, keys).join(recall_of(truth, candidates, keys, "candidate_recall"), keys, "left")
+    rows = rows.join(recall_of(truth.join(critical, [*keys, "u", "v"], "left_semi"), predicted, keys, "critical_edge_recall"), keys, "left")
+    rows = rows.join(reachability_agreement(real, guess, keys).select(*keys, F.col("accuracy").alias("reachability")), keys, "left").join(same_partition(real, guess, keys), keys, "left")
+    return rows.fillna(1.0, ["candidate_recall", "critical_edge_recall"])
+
+
+def _components_of(pairs: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, component) of nodes under pairs (keys, u, v)."""
+    at = lambda c: F.struct(*keys, F.col(c).alias("node"))
+    found = connected_components(pairs.select(at("u").alias("src"), at("v").alias("dst"))).select("node.*", F.col("component.node").alias("component"))
+    return nodes.join(found, [*keys, "node"], "left").withColumn("component", F.coalesce("component", "node"))

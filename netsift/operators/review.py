@@ -81,7 +81,7 @@ def review_symbols(symbols: DataFrame, actions: DataFrame) -> DataFrame:
     out = out.join(moved, ["analysis_run_id", "id"], "left").withColumn("bbox", F.coalesce("__b", "bbox")).drop("__b")
     added = known_actions(actions).where("target_table = 'symbol' and action = 'add'")
     made = {"analysis_run_id": F.col("analysis_run_id"), "id": F.col("target_id"), "page": F.coalesce(F.col("payload")["page"].cast("int"), F.lit(1)), "predicted_class": F.col("payload")["predicted_class"], "original_predicted_class": F.col("payload")["predicted_class"], "confidence": F.lit(1.0), "bbox": box, "review_status": F.lit("verified")}
-    added = added.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in symbols.schema.fields])
+    added = added.select(*[made.get(f.name, F.lit(None)).cast(f.dataType.simpleString()).alias(f.name) for f in symbols.schema.fields])
     return out.select(*symbols.columns).unionByName(added)
 
 
@@ -96,7 +96,7 @@ def review_connections(connections: DataFrame, actions: DataFrame, terminals: Da
         add = add.join(known, (add["analysis_run_id"] == known["analysis_run_id"]) & (end(k) == F.col("__t")), "left_semi")
     add = add.where(end("from_node_id") != end("to_node_id"))
     made = {"analysis_run_id": F.col("analysis_run_id"), "id": F.col("target_id"), "page": F.coalesce(end("page").cast("int"), F.lit(1)), "from_node_id": end("from_node_id"), "to_node_id": end("to_node_id"), "confidence": F.lit(1.0), "provenance": F.lit("engineer_verified"), "review_status": F.lit("verified")}
-    add = add.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in connections.schema.fields])
+    add = add.select(*[made.get(f.name, F.lit(None)).cast(f.dataType.simpleString()).alias(f.name) for f in connections.schema.fields])
     return out.select(*connections.columns).unionByName(add)
 
 

@@ -27,7 +27,7 @@ def oracle():
 
 
 def test_every_core_query_but_a_few_has_an_oracle():
-    assert set(CORE) - set(entry.oracle_sql()) == {"bridges_cyclic", "canonical_paths", "canonical_risks", "physical_connections", "topology_issues", "crossing_kinds", "detection_matches", "raster_conductors"}
+    assert set(CORE) - set(entry.oracle_sql()) == {"bridges_cyclic", "physical_connections", "topology_issues", "raster_conductors"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
