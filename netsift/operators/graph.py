@@ -10,7 +10,7 @@ is checkpointed.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -410,14 +410,15 @@ class Analysis:
             shifted = cut(operational_edges(equipment, terminals, connections, own, forced, policy))
             self.paths = cut(feeder_paths(equipment, shifted, self.sources, own))
         self.feeders = feeder_records(equipment, self.paths)
-        self.findings = validate(equipment, terminals, connections, self.edges, self.paths, junctions)
-        self._risks = None
+        self.junctions = junctions
 
-    @property
+    @cached_property
+    def findings(self) -> DataFrame:
+        return cut(validate(self.equipment, self.terminals, self.connections, self.edges, self.paths, self.junctions))
+
+    @cached_property
     def risks(self) -> DataFrame:
-        if self._risks is None:
-            self._risks = criticality(self.equipment, self.terminals, self.connections, self.edges, self.labelled, self.sources, self.paths, self.base_paths)
-        return self._risks
+        return cut(criticality(self.equipment, self.terminals, self.connections, self.edges, self.labelled, self.sources, self.paths, self.base_paths))
 
     @property
     def health(self) -> DataFrame:

@@ -446,3 +446,61 @@ def canonical_bridges(spark, sf_dir):
 
     edges, labelled, _ = _base(fixtures.graphs(spark, tuple(fixtures.SPECS)))
     return graph.bridges(edges, labelled).select("graph_id", "u", "v")
+
+
+def _lines(spark, sf_dir, schema: str, body: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, requests): a worker's answer for each part; some fail, some cannot be read."""
+    p = derived.read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    line = f"""CASE WHEN p_partkey % 17 = 0 THEN '{{"request_id": "q' WHEN p_partkey % 10 = 0 THEN concat('{{"request_id":"q', p_partkey, '","status":"error","error":"no picture"}}') ELSE {body} END"""
+    lines = p.select(F.from_json(F.expr(line), schema).alias("a")).select("a.*")
+    return lines, p.select(F.concat(F.lit("q"), "p_partkey").alias("request_id"), F.expr("concat('run:', p_partkey % 5)").alias("analysis_run_id"), (F.col("p_partkey") % 3 + 1).cast("int").alias("page"))
+
+
+_X, _Y = "(p_partkey % 97) / 97D", "(floor(p_partkey / 97) % 97) / 97D"
+
+
+def _region(shift: str, tile: int) -> str:
+    return f"""concat('{{"text":"', p_size, 'KV","confidence":0.9,"bbox_normalized":[', {_X} + {shift}, ',', {_Y}, ',', {_X} + {shift} + 0.009, ',', {_Y} + 0.009, '],"tile_index":{tile}}}')"""
+
+
+@registered("""SELECT 'run:' || (p_partkey % 5) AS analysis_run_id, 'text:q' || p_partkey || ':0000' AS id, (p_partkey % 3 + 1)::INTEGER AS page, p_size || 'KV' AS raw_text, p_size || ' kV' AS normalized_text, 'voltage' AS text_type, 'unreviewed' AS review_status FROM part WHERE p_partkey % 17 <> 0 AND p_partkey % 10 <> 0""")
+def worker_texts(spark, sf_dir):
+    """Text evidence of OCR workers' lines; what two tiles both read counts once."""
+    from netsift.plans import runs
+    from netsift.sources.readers import OCR_LINE
+
+    body = f"""concat('{{"request_id":"q', p_partkey, '","status":"ok","regions":[', {_region("0", 0)}, ',', {_region("0.0005", 1)}, ']}}')"""
+    lines, requests = _lines(spark, sf_dir, OCR_LINE, body)
+    return runs.text_rows(lines, requests).select("analysis_run_id", "id", "page", "raw_text", "normalized_text", "text_type", "review_status")
+
+
+@registered("""SELECT 'run:' || (p_partkey % 5) AS analysis_run_id, 'a' || p_partkey AS id, (p_partkey % 3 + 1)::INTEGER AS page, 'load' AS predicted_class, CASE WHEN p_size % 2 = 0 THEN 'unreviewed' ELSE 'pending' END AS review_status FROM part WHERE p_partkey % 17 <> 0 AND p_partkey % 10 <> 0""")
+def worker_symbols(spark, sf_dir):
+    """Symbol evidence of workers' lines; of two that overlap the surer one."""
+    from netsift.plans import runs
+    from netsift.sources.readers import SYMBOL_LINE
+
+    one = lambda name, kind, sure, shift: f"""concat('{{"id":"{name}', p_partkey, '","predicted_class":"{kind}","confidence":', {sure}, ',"bbox_normalized":[', {_X} + {shift}, ',', {_Y}, ',', {_X} + {shift} + 0.009, ',', {_Y} + 0.009, ']}}')"""
+    body = f"""concat('{{"request_id":"q', p_partkey, '","status":"ok","detections":[', {one("b", "busbar", "'0.1'", "0.001")}, ',', {one("a", "load", "CASE WHEN p_size % 2 = 0 THEN '0.9' ELSE '0.5' END", "0")}, ']}}')"""
+    lines, requests = _lines(spark, sf_dir, SYMBOL_LINE, body)
+    return runs.symbol_rows(lines, requests).select("analysis_run_id", "id", "page", "predicted_class", "review_status")
+
+
+@registered("""SELECT 'run:' || (p_partkey % 5) AS analysis_run_id, 'q' || p_partkey AS request_id, CASE WHEN p_partkey % 17 = 0 THEN 'no answer' ELSE 'no picture' END AS message FROM part WHERE p_partkey % 17 = 0 OR p_partkey % 10 = 0""")
+def worker_failures(spark, sf_dir):
+    """Requests that a worker failed, or whose answer cannot be read."""
+    from netsift.plans import runs
+    from netsift.sources.readers import OCR_LINE
+
+    return runs.failed_requests(*_lines(spark, sf_dir, OCR_LINE, """concat('{"request_id":"q', p_partkey, '","status":"ok","regions":[]}')"""))
+
+
+@registered("""WITH f AS (SELECT p_partkey AS s, unnest(range(1, p_partkey % 4 + 2)) AS k FROM part)
+SELECT 'scene:' || s AS graph_id, 'feeder_' || k AS feeder, CASE WHEN (s + k) % 3 = 0 THEN '' ELSE 'source|bus|breaker_' || k || '|feeder_' || k END AS path, CASE WHEN (s + k) % 3 <> 0 THEN 'source' END AS source FROM f""")
+def scene_feeders(spark, sf_dir):
+    """Feeder paths of generated drawings, one a part."""
+    from netsift.plans import runs
+    from netsift.plans.queries import _held, _paths
+
+    found = _paths(_held(runs.topology_scenes(spark, derived.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("seed")))))
+    return found.select("graph_id", F.col("feeder_equipment_id").alias("feeder"), F.array_join("equipment_path", "|").alias("path"), F.col("source_equipment_id").alias("source"))
