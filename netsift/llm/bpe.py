@@ -45,6 +45,29 @@ def _stand_ins() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class Kept(dict):
+    """At most some values by key, in two generations: what is asked for again outlives what is not."""
+
+    __slots__ = ("most", "old")
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most // 2, {}
+
+    def again(self, key):
+        """The value of a key of the older generation, which is kept anew; else None."""
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
+
+
 class Automaton:
     """tokens: bytes of each id; merges: (left id, right id, new id) in order."""
 
@@ -65,8 +88,9 @@ class Automaton:
         self.made = [i for i in range(n) if tokens[i] and (len(tokens[i]) == 1 or left[i] >= 0)]
         self._spelling()
         self.arcs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.prefixes: dict[str, bytes | list[int]] = {}
+        self.lengths = [len(t) for t in tokens]
+        self.words: Kept = Kept(WORDS_KEPT)  # word -> ids
+        self.prefixes: Kept = Kept(WORDS_KEPT)  # word -> counts
 
     def _spelling(self) -> None:
         """Failure-link matcher: step (state * 256 + byte -> state), longest token of a state, next shorter token."""
@@ -131,7 +155,7 @@ class Automaton:
         """(last, count): the last token of the encoding of each prefix, and its number of tokens."""
         n = len(word)
         last, count = [-1] * (n + 1), [0] * (n + 1)
-        step, fail, longest, shorter, tokens, arcs = self.step, self.fail, self.longest, self.shorter, self.tokens, self.arcs
+        step, fail, longest, shorter, lengths, arcs = self.step, self.fail, self.longest, self.shorter, self.lengths, self.arcs
         s = 0
         for end in range(1, n + 1):
             byte = word[end - 1]
@@ -142,7 +166,7 @@ class Automaton:
             s = nxt
             t = longest[s]
             while True:
-                begin = end - len(tokens[t])
+                begin = end - lengths[t]
                 if begin == 0:
                     break
                 ok = arcs.get(last[begin] << 20 | t)
@@ -154,36 +178,56 @@ class Automaton:
             last[end], count[end] = t, count[begin] + 1
         return last, count
 
+    def _lasts(self, word: bytes) -> list[int]:
+        """The first half of run(word), for encoding alone."""
+        last = [-1] * (len(word) + 1)
+        step, fail, longest, shorter, lengths, arcs = self.step.get, self.fail, self.longest, self.shorter, self.lengths, self.arcs.get
+        s = 0
+        for end, byte in enumerate(word, 1):
+            nxt = step(s << 8 | byte)
+            while nxt is None:
+                s = fail[s]
+                nxt = step(s << 8 | byte)
+            s = nxt
+            t = longest[s]
+            begin = end - lengths[t]
+            while begin:
+                ok = arcs(last[begin] << 20 | t)
+                if ok is None:
+                    ok = self.arc(last[begin], t)
+                if ok:
+                    break
+                t = shorter[t]
+                begin = end - lengths[t]
+            last[end] = t
+        return last
+
     def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-split word; kept for the next time."""
-        found = self.words.get(word)
+        found = self.words.get(word) or self.words.again(word)
         if found is None:
             raw = word.encode()
-            last, _ = self.run(raw)
+            last, lengths = self._lasts(raw), self.lengths
             ids, end = [], len(raw)
             while end:
                 ids.append(last[end])
-                end -= len(self.tokens[last[end]])
-            if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
+                end -= lengths[last[end]]
             found = tuple(reversed(ids))
             if len(word) <= 64:
-                self.words[word] = found
+                self.words.keep(word, found)
         return found
 
     def prefix_word(self, word: str) -> bytes | list[int]:
         """Tokens of each prefix of one pre-split word, by code points from none on; kept for the next time."""
-        found = self.prefixes.get(word)
+        found = self.prefixes.get(word) or self.prefixes.again(word)
         if found is None:
             raw = word.encode()
             counts = self.run(raw)[1]
             if len(raw) != len(word):
                 counts = [counts[end] for end in accumulate(map(_width, word), initial=0)]
             found = bytes(counts) if counts[-1] < 256 else counts
-            if len(self.prefixes) >= WORDS_KEPT:
-                self.prefixes.clear()
             if len(word) <= 64:
-                self.prefixes[word] = found
+                self.prefixes.keep(word, found)
         return found
 
 
