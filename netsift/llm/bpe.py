@@ -21,6 +21,7 @@ table is filled as pairs occur.  Prefix counts come with it.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 from functools import lru_cache
@@ -34,8 +35,8 @@ from netsift.llm.common import reside
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 FOREVER = 1 << 60
-#: Words whose encodings a worker keeps, and pairs whose transitions it keeps.
-WORDS_KEPT, ARCS_KEPT = 250_000, 500_000
+#: Words whose encodings a worker keeps, pairs of tokens whose transitions it keeps, and steps by failure links.
+WORDS_KEPT, ARCS_KEPT, STEPS_KEPT = 250_000, 500_000, 250_000
 
 
 def _stand_ins() -> dict[str, int]:
@@ -87,7 +88,8 @@ class Automaton:
             cut[a << 20 | b] = time
         self.made = [i for i in range(n) if tokens[i] and (len(tokens[i]) == 1 or left[i] >= 0)]
         self._spelling()
-        self.arcs: dict[int, bool] = {}
+        self.arcs: list[dict[int, bool]] = [{} for _ in range(n)]  # by token: does an arc of another leave its state
+        self.room = ARCS_KEPT
         self.lengths = [len(t) for t in tokens]
         self.words: Kept = Kept(WORDS_KEPT)  # word -> ids
         self.prefixes: Kept = Kept(WORDS_KEPT)  # word -> counts
@@ -124,18 +126,32 @@ class Automaton:
                 shorter[token[s]] = longest[fail[s]]
             else:
                 longest[s] = longest[fail[s]]
-        self.step, self.fail, self.longest, self.shorter = step, fail, longest, shorter
+        self.fail, self.longest, self.shorter = fail, longest, shorter
+        self.step: list[dict[int, int]] = [{} for _ in range(depth)]  # by state: byte -> state
+        for k, nxt in step.items():
+            self.step[k >> 8][k & 255] = nxt
+        self.detours = STEPS_KEPT
 
     def arc(self, t: int, u: int) -> bool:
-        """Does an arc u leave state(t)?"""
-        key = t << 20 | u
-        found = self.arcs.get(key)
-        if found is None:
-            if len(self.arcs) >= ARCS_KEPT:
-                self.arcs.clear()
-            found = self.arcs[key] = self._arc(t, u)
+        """Does an arc u leave state(t)?  Put into the table, which is emptied when it is full."""
+        if not self.room:
+            for row in self.arcs:
+                row.clear()
+            self.room = ARCS_KEPT
+        self.room -= 1
+        found = self.arcs[t][u] = self._arc(t, u)
         return found
 
+    def _detour(self, state: int, byte: int) -> int:
+        """The state after a byte that a state has no step for: by failure links, then put into the table while it has room."""
+        s = state
+        while (nxt := self.step[s].get(byte)) is None:
+            s = self.fail[s]
+        if self.detours:
+            self.detours -= 1
+            self.step[state][byte] = nxt
+        return nxt
+
     def _arc(self, t: int, u: int) -> bool:
         front, until = [], FOREVER
         while u >= 0:  # tokens along u's left edge, each with the time at which it is merged away
@@ -155,21 +171,18 @@ class Automaton:
         """(last, count): the last token of the encoding of each prefix, and its number of tokens."""
         n = len(word)
         last, count = [-1] * (n + 1), [0] * (n + 1)
-        step, fail, longest, shorter, lengths, arcs = self.step, self.fail, self.longest, self.shorter, self.lengths, self.arcs
+        step, longest, shorter, lengths, arcs = self.step, self.longest, self.shorter, self.lengths, self.arcs
         s = 0
         for end in range(1, n + 1):
             byte = word[end - 1]
-            nxt = step.get(s << 8 | byte)
-            while nxt is None:
-                s = fail[s]
-                nxt = step.get(s << 8 | byte)
-            s = nxt
+            nxt = step[s].get(byte)
+            s = self._detour(s, byte) if nxt is None else nxt
             t = longest[s]
             while True:
                 begin = end - lengths[t]
                 if begin == 0:
                     break
-                ok = arcs.get(last[begin] << 20 | t)
+                ok = arcs[last[begin]].get(t)
                 if ok is None:
                     ok = self.arc(last[begin], t)
                 if ok:
@@ -181,18 +194,15 @@ class Automaton:
     def _lasts(self, word: bytes) -> list[int]:
         """The first half of run(word), for encoding alone."""
         last = [-1] * (len(word) + 1)
-        step, fail, longest, shorter, lengths, arcs = self.step.get, self.fail, self.longest, self.shorter, self.lengths, self.arcs.get
+        step, longest, shorter, lengths, arcs = self.step, self.longest, self.shorter, self.lengths, self.arcs
         s = 0
         for end, byte in enumerate(word, 1):
-            nxt = step(s << 8 | byte)
-            while nxt is None:
-                s = fail[s]
-                nxt = step(s << 8 | byte)
-            s = nxt
+            nxt = step[s].get(byte)
+            s = self._detour(s, byte) if nxt is None else nxt
             t = longest[s]
             begin = end - lengths[t]
             while begin:
-                ok = arcs(last[begin] << 20 | t)
+                ok = arcs[last[begin]].get(t)
                 if ok is None:
                     ok = self.arc(last[begin], t)
                 if ok:
@@ -291,7 +301,12 @@ def _loaded(path: str) -> ByteBPE:
 def load(path: str) -> ByteBPE:
     """One automaton a process and file, until another operator works there."""
     reside("bpe", _loaded.cache_clear)
-    return _loaded(path)
+    before = _loaded.cache_info().misses
+    found = _loaded(path)
+    if _loaded.cache_info().misses > before:
+        gc.collect()
+        gc.freeze()  # the collector need not look through the tables again and again
+    return found
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
