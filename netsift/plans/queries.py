@@ -229,10 +229,8 @@ def association_top1(spark, sf_dir):
 
 def segment_intersections(spark, sf_dir):
     s = derived.segments(spark, sf_dir)
-    side = lambda n: s.select("grp", *[F.col(c).alias(f"{n}_{c}") for c in ("id", "a", "b")])
-    span = lambda n: side(n).withColumn(f"{n}_span", spatial.box_around(F.col(f"{n}_a"), F.col(f"{n}_b"), topology.OUTSIDE))
-    met = spatial.meeting(span("l"), span("r"), ["grp"], "l_span", "r_span").where("l_id < r_id").withColumn("p", geo.line_intersection(F.col("l_a"), F.col("l_b"), F.col("r_a"), F.col("r_b"))).where("p is not null")
-    return met.select("grp", "l_id", "r_id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"), geo.is_tee(F.col("p"), F.col("l_a"), F.col("l_b"), F.col("r_a"), F.col("r_b")).alias("tee"))
+    met = topology.meetings(s, ["grp"])
+    return met.select("grp", F.col("a").alias("l_id"), F.col("b").alias("r_id"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "tee")
 
 
 def segment_geometry(spark, sf_dir):

@@ -37,3 +37,15 @@ def test_overlapping_pairs_of_many_blocks(spark, tiny):
     got = sorted(tuple(r) for r in spatial.overlapping_pairs(spark.createDataFrame(rows, SIDES), ["grp"], 0.2).collect())
     want = [(a[0], *sorted((a[1], b[1])), overlap(a[2], b[2])) for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] and overlap(a[2], b[2]) >= 0.2]
     assert got == sorted(want)
+
+
+def test_meetings_of_many_blocks(spark, tiny):
+    rows = [(g, i, (b[0], b[1]), (b[2], b[3]) if k % 3 else (b[2], b[1])) for k, (g, i, b) in enumerate(drawn(50, 2))]
+    s = spark.createDataFrame(rows, "grp string, id string, a struct<x:double,y:double>, b struct<x:double,y:double>")
+    from netsift.functions.geometry import is_tee, line_intersection
+
+    side = lambda n: s.select("grp", *[F.col(c).alias(f"{n}_{c}") for c in ("id", "a", "b")])
+    four = [F.col(f"{n}_{e}") for n in "lr" for e in "ab"]
+    want = side("l").join(side("r"), "grp").where("l_id < r_id").withColumn("p", line_intersection(*four)).where("p is not null")
+    want = want.select("grp", "l_id", "r_id", "p.x", "p.y", is_tee(F.col("p"), *four))
+    assert sorted(map(tuple, topology.meetings(s, ["grp"]).collect())) == sorted(map(tuple, want.collect()))
