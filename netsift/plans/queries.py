@@ -326,8 +326,8 @@ def error_tags(spark, sf_dir):
 
 
 def export_json(spark, sf_dir):
-    """Graphs written as documents and read back."""
-    docs = sinks.graph_json(**derived.net(spark, sf_dir)).select(F.from_json("document", readers.GRAPH_DOCUMENT).alias("d")).select("d.*")
+    """Graphs written as documents, in parts of bounded size, and read back."""
+    docs = sinks.graph_parts(**derived.net(spark, sf_dir)).select(F.from_json("document", readers.GRAPH_DOCUMENT).alias("d")).select("d.*")
     back = readers.explode_graphs(docs)["equipment"]
     return back.select("graph_id", "id", "equipment_id", "type", back["attributes"]["rating"].alias("rating"), F.round("bbox.x2", 3).alias("x2"))
 
