@@ -59,27 +59,24 @@ def ambiguous_feeders(spark, sf_dir):
 
 
 def _what_if(spark, sf_dir):
-    """(tables, sources, {state: edges}) of net2 with the switches of poor suppliers forced."""
-    t = _held(derived.net2(spark, sf_dir))
+    """Every feeder's source in net2 as it is, and with the switches of poor suppliers opened and closed."""
+    t = derived.net2(spark, sf_dir)
     poor = derived.read(spark, sf_dir, "supplier").where("s_acctbal < 2000")
     over = F.explode(F.array(F.lit("open"), F.lit("closed")))
     overrides = poor.select(F.lit("net2").alias("graph_id"), over.alias("variant_id"), derived.name("S", "s_suppkey").alias("equipment_id")).withColumn("state", F.col("variant_id"))
     variants = spark.createDataFrame([("net2", v) for v in (BASE, "open", "closed")], "graph_id string, variant_id string")
-    edges = cut(graph.operational_edges(**t, variants=variants, overrides=overrides))
-    return t, _base(t)[2], variants, edges
+    return graph.nearest_supply(**t, sources=cut(graph.found_sources(**t)), variants=variants, overrides=overrides, paths=False)
 
 
 def what_if_switches(spark, sf_dir):
     """Every feeder's source as it is, with switches opened, and with them closed: three variants in one traversal."""
-    t, sources, variants, edges = _what_if(spark, sf_dir)
-    p = graph.feeder_paths(t["equipment"], edges, sources, variants)
+    p = _what_if(spark, sf_dir)
     return p.select("variant_id", F.col("feeder_equipment_id").alias("feeder"), F.col("source_equipment_id").alias("source"), "active")
 
 
 def scenario_diff(spark, sf_dir):
     """Feeders reached as it is, with switches opened and closed; opening never adds, closing never takes."""
-    t, sources, variants, edges = _what_if(spark, sf_dir)
-    p = cut(graph.feeder_paths(t["equipment"], edges, sources, variants))
+    p = cut(_what_if(spark, sf_dir).select("graph_id", "variant_id", "source_equipment_id"))
     of = lambda v: p.where(F.col("variant_id") == v)
     return metrics.monotone(of(BASE), of("open"), of("closed"))
 

@@ -190,3 +190,24 @@ def test_reachability_without_pairs(spark):
     agree = sum((a[1] == b[1]) == (a[2] == b[2]) for a, b in itertools.combinations(nodes, 2))
     assert (got["pairs"], got["agree"]) == (780, agree)
     assert not metrics.same_partition(df.select("g", "node", F.col("t").alias("component")), df.select("g", "node", F.col("p").alias("component")), ["g"]).head()["same"]
+
+
+def test_nearest_supply(spark):
+    """The lean traversal has feeder_paths' sources and paths, of all variants, however many share a mask."""
+    t = graphs(spark, tuple(SPECS))
+    sources = graph.found_sources(**t)
+    assert sources.exceptAll(graph.Analysis(**t).sources).count() == 0
+    switches = t["equipment"].where(F.col("type").isin(*graph.SWITCH_TYPES))
+    names = ["base", *[f"v{k:02d}" for k in range(64)]]
+    variants = t["equipment"].select("graph_id").distinct().crossJoin(spark.createDataFrame([(n,) for n in names], "variant_id string"))
+    over = switches.select("graph_id", F.col("id").alias("equipment_id")).join(variants, "graph_id").where("variant_id in ('v03', 'v63') or variant_id = 'v01' and equipment_id like '%1'")
+    over = over.withColumn("state", F.when(F.col("variant_id") == "v63", "closed").otherwise("open"))
+    shown = ["graph_id", "variant_id", "feeder_equipment_id", "source_equipment_id", "equipment_path", "active"]
+    of = lambda df, columns=shown: sorted(map(str, df.select(*columns).where("variant_id in ('base', 'v01', 'v03', 'v63')").collect()))
+    edges = graph.operational_edges(**t, variants=variants, overrides=over)
+    slow = graph.feeder_paths(t["equipment"], edges.where("variant_id in ('base', 'v01', 'v03', 'v63')"), sources, variants.where("variant_id in ('base', 'v01', 'v03', 'v63')")).cache()
+    assert of(graph.nearest_supply(**t, sources=sources, variants=variants, overrides=over)) == of(slow)
+    lean = [c for c in shown if c != "equipment_path"]
+    assert of(graph.nearest_supply(**t, sources=sources, variants=variants, overrides=over, paths=False), lean) == of(slow, lean)
+    for how in ({}, {"policy": "definite"}, {"ignore_switches": True}):
+        assert of(graph.nearest_supply(**t, sources=sources, **how)) == of(graph.feeder_paths(t["equipment"], graph.operational_edges(**t, **how), sources))
