@@ -60,11 +60,11 @@ def ambiguous_feeders(spark, sf_dir):
 
 def _what_if(spark, sf_dir):
     """Every feeder's source in net2 as it is, and with the switches of poor suppliers opened and closed."""
-    t = derived.net2(spark, sf_dir)
+    t = derived.net2(spark, sf_dir, repeats=True)
     poor = derived.read(spark, sf_dir, "supplier").where("s_acctbal < 2000")
     over = F.explode(F.array(F.lit("open"), F.lit("closed")))
     overrides = poor.select(F.lit("net2").alias("graph_id"), over.alias("variant_id"), derived.name("S", "s_suppkey").alias("equipment_id")).withColumn("state", F.col("variant_id"))
-    variants = spark.createDataFrame([("net2", v) for v in (BASE, "open", "closed")], "graph_id string, variant_id string")
+    variants = spark.range(1).select(F.lit("net2").alias("graph_id"), F.explode(F.array(*map(F.lit, (BASE, "open", "closed")))).alias("variant_id"))
     return graph.nearest_supply(**t, sources=cut(graph.found_sources(**t)), variants=variants, overrides=overrides, paths=False)
 
 

@@ -211,3 +211,21 @@ def test_nearest_supply(spark):
     assert of(graph.nearest_supply(**t, sources=sources, variants=variants, overrides=over, paths=False), lean) == of(slow, lean)
     for how in ({}, {"policy": "definite"}, {"ignore_switches": True}):
         assert of(graph.nearest_supply(**t, sources=sources, **how)) == of(graph.feeder_paths(t["equipment"], graph.operational_edges(**t, **how), sources))
+
+
+def test_nearest_supply_of_links_as_they_are(spark, monkeypatch):
+    """Repeated connections, several terminals an equipment and terminals of nothing change no answer; links are joined with nothing before the search."""
+    t = graphs(spark, tuple(SPECS))
+    sources = graph.found_sources(**t)
+    lean = ["graph_id", "feeder_equipment_id", "source_equipment_id", "active"]
+    of = lambda t, **how: sorted(map(str, graph.nearest_supply(**t, sources=sources, **how).select(*lean).collect()))
+    more = t["terminals"].withColumn("id", F.concat("id", F.lit("'")))
+    crossed = t["connections"].withColumn("to_terminal_id", F.concat("to_terminal_id", F.lit("'")))
+    loose = t["connections"].withColumn("from_terminal_id", F.lit("nowhere"))
+    untidy = {"equipment": t["equipment"], "terminals": t["terminals"].unionByName(more), "connections": t["connections"].unionByName(t["connections"]).unionByName(crossed).unionByName(loose)}
+    plans, held = [], graph.packed
+    monkeypatch.setattr(graph, "packed", lambda df: plans.append(df) or held(df))
+    for how in ({"paths": False}, {"paths": True}):
+        assert of(untidy, **how) == sorted(map(str, graph.feeder_paths(t["equipment"], graph.operational_edges(**t), sources).select(*lean).collect()))
+    links = [df for df in plans if df.columns == ["graph_id", "u", "v"]]
+    assert links and not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in links)
