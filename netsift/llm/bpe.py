@@ -16,7 +16,8 @@ Encoding runs over positions: `spell` is a deterministic matcher over bytes
 (longest token ending here, by failure links), `shorter` its chain of shorter
 tokens, `arc` the transition test; at each position the only token whose arc
 leaves the state of the prefix before it is kept.  All are tables; the transition
-table is filled as pairs occur.  Prefix counts come with it.
+table is filled as pairs occur.  Prefix counts come with it.  Many words are taken
+through the same tables together, position by position, as NumPy arrays.
 """
 
 from __future__ import annotations
@@ -24,19 +25,25 @@ from __future__ import annotations
 import gc
 import json
 import os
+import re
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate, compress
+from operator import not_
 
+import numpy as np
 import regex
 
 from netsift.llm.common import reside
 
 #: The pre-tokenizer's pattern and its printable stand-ins for bytes, as the vocabulary file's format has them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r 0-9A-Za-z]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")  # PATTERN over ASCII
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 FOREVER = 1 << 60
 #: Words whose encodings a worker keeps, pairs of tokens whose transitions it keeps, and steps by failure links.
 WORDS_KEPT, ARCS_KEPT, STEPS_KEPT = 250_000, 500_000, 250_000
+#: Words that are worth taking together, bytes of the longest of them, code points of texts whose words are, and places for transitions.
+TOGETHER, LONGEST, AT_ONCE, PLACES = 64, 32, 1 << 20, 1 << 20
 
 
 def _stand_ins() -> dict[str, int]:
@@ -91,7 +98,7 @@ class Automaton:
         self.arcs: list[dict[int, bool]] = [{} for _ in range(n)]  # by token: does an arc of another leave its state
         self.room = ARCS_KEPT
         self.lengths = [len(t) for t in tokens]
-        self.words: Kept = Kept(WORDS_KEPT)  # word -> ids
+        self.words: Kept = Kept(WORDS_KEPT)  # word -> ids, as bytes of int32
         self.prefixes: Kept = Kept(WORDS_KEPT)  # word -> counts
 
     def _spelling(self) -> None:
@@ -127,6 +134,11 @@ class Automaton:
             else:
                 longest[s] = longest[fail[s]]
         self.fail, self.longest, self.shorter = fail, longest, shorter
+        keys = sorted(step)  # the same as arrays, for many words at a time
+        self.keys = np.array([*keys, -1], np.int64)
+        self.targets = np.array([step[k] for k in keys], np.int32)
+        self.arrays = [np.array(x, np.int32) for x in (fail, longest, shorter, list(map(len, self.tokens)))]
+        self.places = np.full(PLACES, -1, np.int64)  # by a hash of two tokens: both, and whether the arc is there
         self.step: list[dict[int, int]] = [{} for _ in range(depth)]  # by state: byte -> state
         for k, nxt in step.items():
             self.step[k >> 8][k & 255] = nxt
@@ -212,20 +224,87 @@ class Automaton:
             last[end] = t
         return last
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
+    def _steps(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The states after one byte each, by failure links where a state has no step."""
+        out, todo = np.empty_like(state), np.arange(len(state))
+        while len(todo):
+            key = state.astype(np.int64) << 8 | byte
+            at = np.searchsorted(self.keys[:-1], key)
+            hit = self.keys[at] == key
+            out[todo[hit]] = self.targets[at[hit]]
+            todo, state, byte = todo[~hit], self.arrays[0][state[~hit]], byte[~hit]
+        return out
+
+    def _arcs(self, t: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """_arc of many pairs; a place that another pair has is computed and taken over."""
+        pair = t.astype(np.int64) << 20 | u
+        place = (pair * 0x9E3779B1 >> 16) & (PLACES - 1)
+        found = self.places[place]
+        lost = np.flatnonzero(found >> 1 != pair)
+        if len(lost):
+            new, back = np.unique(pair[lost], return_inverse=True)
+            new = np.array([p << 1 | self._arc(p >> 20, p & 0xFFFFF) for p in new.tolist()], np.int64)[back]
+            found[lost] = self.places[place[lost]] = new
+        return (found & 1).astype(bool)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """encode_word of different words, none kept; few or long ones go one by one."""
+        raw = [w.encode() for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        short = np.flatnonzero(size <= LONGEST) if len(raw) >= TOGETHER else np.empty(0, np.int64)
+        out = [b""] * len(raw)
+        for k in np.setdiff1d(np.arange(len(raw)), short).tolist():
+            out[k] = self._ids(raw[k])
+        if not len(short):
+            return out
+        short = short[np.argsort(-size[short], kind="stable")]
+        size, names = size[short], short.tolist()
+        text, start = np.frombuffer(b"".join(map(raw.__getitem__, names)), np.uint8), np.cumsum(size) - size
+        _, longest, shorter, lengths = self.arrays
+        last = np.full((size[0] + 1, len(short)), -1, np.int32)
+        state = np.zeros(len(short), np.int32)
+        for end in range(1, size[0] + 1):
+            n = int(np.searchsorted(-size, -end, side="right"))  # words with so many bytes
+            state = self._steps(state[:n], text[start[:n] + end - 1])
+            token = longest[state]
+            begin = end - lengths[token]
+            todo = np.flatnonzero(begin)
+            while len(todo):
+                todo = todo[~self._arcs(last[begin[todo], todo], token[todo])]
+                token[todo] = shorter[token[todo]]
+                begin[todo] = end - lengths[token[todo]]
+                todo = todo[begin[todo] > 0]
+            last[end, :n] = token
+        found, at, end = [], np.arange(len(short)), size.copy()
+        while len(at):
+            token = last[end[at], at]
+            found.append((at, token))
+            end[at] -= lengths[token]
+            at = at[end[at] > 0]
+        at, token = (np.concatenate(x[::-1]) for x in zip(*found, strict=True))
+        flat, stops = token[np.argsort(at, kind="stable")].tobytes(), (4 * np.cumsum(np.bincount(at))).tolist()
+        lo = 0
+        for k, hi in zip(names, stops, strict=True):
+            out[k] = flat[lo:hi]
+            lo = hi
+        return out
+
+    def _ids(self, raw: bytes) -> bytes:
+        last, lengths = self._lasts(raw), self.lengths
+        ids, end = [], len(raw)
+        while end:
+            ids.append(last[end])
+            end -= lengths[last[end]]
+        return np.array(ids[::-1], np.int32).tobytes()
+
+    def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-split word; kept for the next time."""
         found = self.words.get(word) or self.words.again(word)
         if found is None:
-            raw = word.encode()
-            last, lengths = self._lasts(raw), self.lengths
-            ids, end = [], len(raw)
-            while end:
-                ids.append(last[end])
-                end -= lengths[last[end]]
-            found = tuple(reversed(ids))
+            found = self._ids(word.encode())
             if len(word) <= 64:
                 self.words.keep(word, found)
-        return found
+        return np.frombuffer(found, np.int32).tolist()
 
     def prefix_word(self, word: str) -> bytes | list[int]:
         """Tokens of each prefix of one pre-split word, by code points from none on; kept for the next time."""
@@ -267,6 +346,7 @@ class ByteBPE:
         for text, i in special.items():
             self.labels[i] = text.encode()
         self.special = special
+        self.special_ids = {text: np.array([i], np.int32).tobytes() for text, i in special.items()}
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
@@ -275,18 +355,50 @@ class ByteBPE:
         return self.cut.split(text) if self.cut and any(x in text for x in self.special) else (text,)
 
     def encode(self, text: str) -> list[int]:
-        known, one = self.automaton.words.get, self.automaton.encode_word
-        ids: list[int] = []
-        for k, piece in enumerate(self.pieces(text)):
-            if k % 2:
-                ids.append(self.special[piece])
+        return np.frombuffer(self._packed([text])[0], np.int32).tolist()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as bytes of int32.  Words that are not kept are encoded together, over bounded parts of texts."""
+        out: list[bytes] = []
+        part, size = [], 0
+        for text in texts:
+            part.append(text)
+            size += len(text)
+            if size >= AT_ONCE:
+                out += self._packed(part)
+                part, size = [], 0
+        return out + self._packed(part)
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        kept = self.automaton.words
+        found: list[tuple[list[str], list[bytes | None]]] = []  # of each text: words, and the ids of those that are kept
+        lost: dict[str, bytes] = {}
+        for text in texts:
+            words: list[str] = []
+            parts: list[bytes | None] = []
+            for k, piece in enumerate(self.pieces(text)):
+                if k % 2:
+                    words.append(piece)
+                    parts.append(self.special_ids[piece])
+                else:
+                    some = (PLAIN if piece.isascii() else self.split).findall(piece)
+                    words += some
+                    parts += map(kept.get, some)
+            if None in parts:
+                lost.update(dict.fromkeys(compress(words, map(not_, parts)), b""))
+            found.append((words, parts))
+        new = []
+        for word in lost:
+            ids = kept.again(word)
+            if ids is None:
+                new.append(word)
             else:
-                words = self.split.findall(piece)
-                parts = list(map(known, words))
-                if None in parts:
-                    parts = [one(w) if p is None else p for w, p in zip(words, parts, strict=True)]
-                ids.extend(chain.from_iterable(parts))
-        return ids
+                lost[word] = ids
+        for word, ids in zip(new, self.automaton.encode_words(new), strict=True):
+            lost[word] = ids
+            if len(word) <= 64:
+                kept.keep(word, ids)
+        return [b"".join([p or lost[w] for w, p in zip(words, parts, strict=True)] if None in parts else parts) for words, parts in found]
 
     def decode(self, ids: list[int]) -> str:
         """Arc labels one after another; bytes that are no UTF-8 become U+FFFD."""

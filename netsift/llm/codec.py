@@ -4,17 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.bpe import default_path, load
+from netsift.llm.bpe import ByteBPE, default_path, load
 from netsift.llm.common import release, table, texts_of
 
 #: Documents of one returned batch.
 BATCH = 256
 
 
+def decoded(codec: ByteBPE, labels: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """The texts of lists of ids: arc labels one after another; codec.decode where these are no UTF-8."""
+    spelled = labels.take(ids.values)
+    if not len(spelled):
+        return pa.array([""] * len(ids), pa.large_string())
+    ends = np.frombuffer(spelled.buffers()[1], np.int64)[np.asarray(ids.offsets)]
+    texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(ends), spelled.buffers()[2])
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:
+        texts = pa.array([codec.decode(x) for x in ids.to_pylist()], pa.large_string())
+    return texts
+
+
 def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids: array<int>, decoded: string) of every row of docs.
 
@@ -27,11 +42,14 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(path)
+        labels = pa.array(codec.labels, pa.large_binary())
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
                 part = batch.slice(lo, BATCH)
-                ids = [codec.encode(t) if t else [] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+                ids = codec.encode_all([t or "" for t in part.column(1).to_pylist()])
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), listed, decoded(codec, labels, listed).cast(pa.string())], names=["doc_id", "ids", "decoded"])
         release()
 
     rows = texts_of(docs, id_col, text_col)

@@ -1,13 +1,15 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from netsift.llm.bpe import Automaton, default_path, load
-from netsift.llm.codec import digests, encode_decode
+from netsift.llm.bpe import Automaton, ByteBPE, default_path, load
+from netsift.llm.codec import decoded, digests, encode_decode
 from netsift.llm.token_counts import PrefixCounts, count_tokens
 from tests.llm.fixtures import docs
 
@@ -118,3 +120,29 @@ def test_count_frames(spark, both):
     want = [(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t, _ in ROWS]
     assert got == sorted(want, key=repr)
     assert count_tokens(docs(spark, [])).collect() == []
+
+
+def test_many_words_are_encoded_together(both, monkeypatch):
+    """Against the library, over more words than are kept; short ones take no pass each of their own."""
+    _, library = both
+    mine = ByteBPE(default_path())
+    mine.automaton.words.most = 300
+    rng = random.Random(8)
+    made = ["".join(rng.choice("aeinorstlhdé日\x85") for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    texts = ["", *("".join(rng.choice([" ", " ", " ", "\n ", "  ", "", "'s ", ".", "<|endoftext|>"]) + rng.choice(made) for _ in range(rng.randint(0, 200))) for _ in range(60))]
+    with monkeypatch.context() as m:
+        m.setattr(Automaton, "_lasts", None)
+        got = [np.frombuffer(x, np.int32).tolist() for x in mine.encode_all([t for t in texts if not any(len(w.encode()) > 32 for w in mine.split.findall(t))])]
+        assert len(got) > 20
+    texts += ["x" * 40 + " " + "日" * 70, "é" * 16]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert all(ids in want for ids in got)
+    assert [np.frombuffer(x, np.int32).tolist() for x in mine.encode_all(texts)] == want
+
+
+def test_decoded_lists(both):
+    mine, library = both
+    ids = [mine.encode("été <|endoftext|> 日本"), [], mine.encode("日")[:1], mine.encode(" a")]
+    got = decoded(mine, pa.array(mine.labels, pa.large_binary()), pa.array(ids, pa.list_(pa.int32()))).to_pylist()
+    assert got == [library.decode(x, skip_special_tokens=False) for x in ids]
+    assert decoded(mine, pa.array(mine.labels, pa.large_binary()), pa.array([[], []], pa.list_(pa.int32()))).to_pylist() == ["", ""]
